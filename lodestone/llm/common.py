@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,16 @@ def utf8(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the binary column of each holds about ``most`` bytes, whatever the lengths of its texts."""
+    for batch in batches:
+        at, total = 0, np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, merge_spans, mix64, partitions, sliding_argmin, utf8
+from .common import Stash, merge_spans, mix64, partitions, slices, sliding_argmin, utf8
 
 #: Words in a minimiser. Longer ones are rarer, shorter ones make longer super-k-mers.
 GRAM = 3
@@ -35,7 +35,7 @@ def _super_kmers(window: int):
     gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             docs, hashes, words, owner = batch.column(0).to_pylist(), [], [], []
             for doc, text in zip(docs, batch.column(1).to_pylist(), strict=True):
                 own = text.split()
@@ -146,7 +146,7 @@ def _buckets(window: int, bucket: int):
 
 def _cut(rejoin: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 1 << 23):
             count, removed, texts = [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = kept = text.split()
