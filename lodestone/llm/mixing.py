@@ -52,8 +52,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     level = (share / CEILING * F.sum("top").over(everything) - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    filled = weighed.withColumn("level", level)
-    tau = F.min(F.when(F.col("level") * F.col("weight") <= F.col("top"), F.col("level"))).over(everything)
+    filled = weighed.withColumn("level", level).withColumn("place", F.row_number().over(order))
+    tau = F.min(F.when(F.col("level") * F.col("weight") <= F.col("top"), F.struct("place", "level"))).over(everything)["level"]
     return filled.withColumn("tau", tau).select("source", "source_size", F.least("top", F.coalesce(F.col("tau") * F.col("weight"), F.col("top"))).alias("target"))
 
 

@@ -118,27 +118,45 @@ def _count(group: list[tuple], window: int, marks: _Marks) -> None:
                 marks.spans(*group[r][:2], own, window)
 
 
+class _Hot:
+    """A bucket too large to hold. Equal strings come side by side: all windows of a repeated one repeat, and only the
+    first of them sends its windows on to be counted with those of other strings."""
+
+    def __init__(self, window: int, marks: _Marks):
+        self.window, self.marks, self.first, self.marked = window, marks, None, False
+
+    def add(self, doc: int, at: int, packed: bytes) -> None:
+        if self.first and self.first[2] == packed:
+            every = [True] * (packed.count(b" ") + 2 - self.window)
+            if not self.marked:
+                self.marks.spans(*self.first[:2], every, self.window)
+            self.marks.spans(doc, at, every, self.window)
+            self.marked = True
+        else:
+            self.first, self.marked = (doc, at, packed), False
+            self.marks.windows(doc, at, packed.split(b" "), self.window)
+
+
 def _buckets(window: int, bucket: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, group, key, hot = _Marks(), [], None, False
+        marks, group, key, hot = _Marks(), [], None, None
         for batch in batches:
             for k, doc, at, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
-                    if not hot:
-                        _count(group, window, marks)
-                    group, key, hot = [], k, False
+                    _count(group, window, marks)
+                    group, key, hot = [], k, None
                 if hot:
-                    marks.windows(doc, at, packed.split(b" "), window)
+                    hot.add(doc, at, packed)
                 else:
                     group.append((doc, at, packed))
                     if len(group) > bucket:
-                        for d, a, p in group:
-                            marks.windows(d, a, p.split(b" "), window)
-                        group, hot = [], True
+                        hot = _Hot(window, marks)
+                        for row in group:
+                            hot.add(*row)
+                        group = []
                 if len(marks.rows) > 20_000:
                     yield marks.batch()
-        if not hot:
-            _count(group, window, marks)
+        _count(group, window, marks)
         yield marks.batch()
 
     return run
