@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, substring_dedup
+from . import mixing, sentencepiece, sharding, simhash, substring_dedup, toxicity
 from .common import Stash, table
 
 #: Production parameters.
 SHARDS = [f"shard-{i:03d}" for i in range(96)]
 
+CATEGORIES = ["low_quality", "toxic"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +29,32 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer() -> bytes:
+    """The public vocabulary's bytes, from the path in LODESTONE_TOKENIZER or the installed files."""
+    return sentencepiece.read_model(os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model"))
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(docs, labels, CATEGORIES)
+
+
+def toxicity_verdicts(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str]) -> DataFrame:
+    """row, probabilities and toxic: whether the last category of the chain holds."""
+    chain = toxicity_chain(spark, docs, sf_dir)
+    return toxicity.score(docs, chain, keep=keep).withColumn("toxic", F.element_at("probabilities", -1) >= chain.thresholds[-1])
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_verdicts(spark, table(spark, sf_dir, "documents"), sf_dir, ["doc_id"])
+    return out.select("row.doc_id", *[F.col("probabilities")[i].alias(f"p_{c}") for i, c in enumerate(CATEGORIES)], "toxic")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
+    return out.select("row.doc_id", "ids", "n_tokens", "round_trip")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), Stash(spark))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 from .common import slices, utf8
 
 #: Labelled rows that the models are fitted on, at most; a documented bound, the only one here.
-SAMPLE = 4_000
+SAMPLE = 5_000
 #: Hashed words; folds of the out-of-fold predictions; penalty on squared weights; steps of the fit.
-SPACE, FOLDS, PENALTY, STEPS = 1 << 18, 5, 0.2, 8
+SPACE, FOLDS, PENALTY, STEPS = 1 << 18, 5, 0.01, 7
+#: Value of a feature that is there. A feature gets a weight if it is in LEAST rows of the sample and in no more than the
+#: share MOST of them (what nearly every text has tells nothing).
+SCALE, LEAST, MOST = 0.1, 3, 0.2
 #: Lengths in bytes of the word beginnings that count as features beside whole words; compounds share them.
 PREFIXES = (4, 5, 6)
 #: Words that a worker remembers the places of before it forgets them all.
@@ -68,7 +71,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Rows:
-    """Sparse rows of ones: places[start[i]:start[i + 1]] belong to row i, each with weight scale[i]."""
+    """Sparse rows: places[start[i]:start[i + 1]] belong to row i, each with the value SCALE."""
 
     places: np.ndarray
     start: np.ndarray
@@ -80,7 +83,15 @@ class Rows:
     def __post_init__(self):
         length = np.diff(self.start)
         self.owner = np.repeat(np.arange(len(length)), length)
-        self.scale = 1 / np.sqrt(np.maximum(length, 1))
+        self.scale = np.full(len(length), SCALE)
+
+    def compact(self) -> tuple[Rows, np.ndarray]:
+        """Only places that get a weight, numbered anew; and the places behind the numbers."""
+        places, flat, count = np.unique(self.places, return_inverse=True, return_counts=True)
+        fit = (count >= LEAST) & (count <= max(LEAST, MOST * len(self.scale)))
+        number, kept = np.cumsum(fit) - 1, fit[flat]
+        start = np.r_[0, np.cumsum(kept)][self.start]
+        return Rows(number[flat][kept].astype(np.int32), start), places[fit]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.scale))
@@ -89,8 +100,8 @@ class Rows:
             out[full] = np.add.reduceat(w[self.places], self.start[full])
         return out * self.scale
 
-    def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.places, (r * self.scale)[self.owner], SPACE)
+    def back(self, r: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.places, (r * self.scale)[self.owner], size)
 
     def take(self, at: np.ndarray) -> Rows:
         return Rows.of([self.places[self.start[i] : self.start[i + 1]] for i in at])
@@ -115,21 +126,21 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p)) / 4
 
 
-def fit(x: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
+def fit(x: Rows, earlier: np.ndarray, y: np.ndarray, size: int) -> Linear:
     """Penalised logistic regression with balanced class weights: Newton steps, each solved by conjugate gradients."""
     k, n = earlier.shape[1], len(y)
     if not n or y.min() == y.max():
         share = (y.sum() + 0.5) / (n + 1)
-        return Linear(np.zeros(SPACE), np.zeros(k), float(np.log(share / (1 - share))))
+        return Linear(np.zeros(size), np.zeros(k), float(np.log(share / (1 - share))))
     weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
-    theta = np.zeros(SPACE + k + 1)
-    penalty = np.r_[np.full(SPACE + k, PENALTY / 16), 1e-6]
+    theta = np.zeros(size + k + 1)
+    penalty = np.r_[np.full(size + k, PENALTY), 1e-6]
 
     def forward(t):
-        return x.dot(t[:SPACE]) + earlier @ t[SPACE:-1] + t[-1]
+        return x.dot(t[:size]) + earlier @ t[size:-1] + t[-1]
 
     def backward(r):
-        return np.r_[x.back(r), earlier.T @ r, r.sum()]
+        return np.r_[x.back(r, size), earlier.T @ r, r.sum()]
 
     def loss(t):
         z = forward(t)
@@ -141,17 +152,17 @@ def fit(x: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
         grad = backward(weight * (p - y)) + penalty * theta
         curve = weight * p * (1 - p) + 1e-9
         step, rest = np.zeros_like(theta), -grad
-        way, size = rest.copy(), rest @ rest
-        goal = size * 1e-2
+        way, energy = rest.copy(), rest @ rest
+        goal = energy * 1e-2
         for _ in range(15):
             bent = backward(curve * forward(way)) + penalty * way
-            length = size / (way @ bent)
+            length = energy / (way @ bent)
             step += length * way
             rest -= length * bent
-            size, before = rest @ rest, size
-            if size < goal:
+            energy, before = rest @ rest, energy
+            if energy < goal:
                 break
-            way = rest + size / before * way
+            way = rest + energy / before * way
         scale = 1.0
         while (then := loss(theta + scale * step)) > now and scale > 1e-4:
             scale /= 2
@@ -159,33 +170,55 @@ def fit(x: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
         if now - then < 1e-5 * abs(now):
             break
         now = then
-    return Linear(theta[:SPACE], theta[SPACE:-1], float(theta[-1]))
+    return Linear(theta[:size], theta[size:-1], float(theta[-1]))
+
+
+@dataclass
+class Chain:
+    models: list[Linear]
+    thresholds: list[float]  # a category's probability from which it holds
+
+
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the best F1 over out-of-fold probabilities, halfway to the next lower one."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    last = np.flatnonzero(np.r_[p[1:] < p[:-1], True])  # equal probabilities stand together
+    best = last[np.argmax(f1[last])]
+    return float((p[best] + (p[best + 1] if best + 1 < len(p) else 0)) / 2)
 
 
-def fit_chain(x: Rows, labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
+def fit_chain(x: Rows, labels: np.ndarray, fold: np.ndarray) -> Chain:
     """labels: a column a category, nan where unknown. Out-of-fold probabilities of each category feed the next ones."""
-    chain, earlier = [], np.empty((len(labels), 0))
+    chain, earlier = Chain([], []), np.empty((len(labels), 0))
+    x, places = x.compact()
     for c in range(labels.shape[1]):
         known, out = ~np.isnan(labels[:, c]), np.empty(len(labels))
-        if c + 1 < labels.shape[1]:
-            for k in range(FOLDS):
-                at, rest = np.flatnonzero(known & (fold != k)), np.flatnonzero(fold == k)
-                out[rest] = fit(x.take(at), earlier[at], labels[at, c]).predict(x.take(rest), earlier[rest])
+        for k in range(FOLDS):
+            at, rest = np.flatnonzero(known & (fold != k)), np.flatnonzero(fold == k)
+            out[rest] = fit(x.take(at), earlier[at], labels[at, c], len(places)).predict(x.take(rest), earlier[rest])
         at = np.flatnonzero(known)
-        chain.append(fit(x.take(at), earlier[at], labels[at, c]))
+        model = fit(x.take(at), earlier[at], labels[at, c], len(places))
+        words = np.zeros(SPACE)
+        words[places] = model.words
+        chain.models.append(Linear(words, model.earlier, model.intercept))
+        chain.thresholds.append(_threshold(out[at], labels[at, c]))
         earlier = np.c_[earlier, logit(out)]
     return chain
 
 
-def apply_chain(chain: list[Linear], x: Rows) -> np.ndarray:
+def apply_chain(chain: Chain, x: Rows) -> np.ndarray:
     earlier, found = np.empty((len(x.scale), 0)), []
-    for model in chain:
+    for model in chain.models:
         found.append(model.predict(x, earlier))
         earlier = np.c_[earlier, logit(found[-1])]
     return np.stack(found, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[Linear]:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """Fits the chain on the driver, on at most ``sample`` labelled rows; what is collected is bounded by that."""
     rank = F.xxhash64(F.lit("sample"), doc_id)
     chosen = labels.select(doc_id, *categories).where(F.col(doc_id).isNotNull()).orderBy(rank, doc_id, *categories).limit(sample)
@@ -203,13 +236,13 @@ def _score(chain):
         places, models = Hasher(), chain.value
         for batch in slices(batches, 1):
             x = Rows.of([places(t) for t in batch.column(1).to_pylist()])
-            found = apply_chain(models, x).reshape(batch.num_rows, len(models))
+            found = apply_chain(models, x).reshape(batch.num_rows, len(models.models))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=["row", "probabilities"])
 
     return run
 
 
-def score(docs: DataFrame, chain: list[Linear], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Returns row (the columns ``keep``, by default all but the text) and probabilities, one a category in chain order.
 
     The broadcast models have a fixed size: SPACE weights a category.
