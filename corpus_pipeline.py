@@ -19,11 +19,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the least id stays (of rows that repeat it, one)."""
-    docs = docs.select(COLUMNS)
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), Stash(spark))
-    kept = found.where("row.doc_id = component_id or component_id is null").select("row.doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of linked fingerprints the document with the least id stays; one row of those that repeat an id.
+
+    A document without an id works under a large number made from its text, so that ids go before it.
+    """
+    own = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    named = docs.select(own.alias("own"), *COLUMNS)
+    found = simhash.near_duplicates(named.select("own", "text"), Stash(spark), doc_id="own")
+    kept = found.where("row.own = component_id").select("row.own").distinct()
+    return named.join(kept, "own").dropDuplicates(["own"]).select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece, sharding, simhash, substring_dedup, toxicity
+from . import lsh, mixing, pivot_index, sentencepiece, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import Stash, table
 
 #: Production parameters.
@@ -24,11 +24,21 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return lsh.nearest(rows, rows.where("vec_id % 20 = 0"), Stash(spark)).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Stash(spark))
     return out.select("row.doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Stash(spark))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer() -> bytes:
     """The public vocabulary's bytes, from the path in LODESTONE_TOKENIZER or the installed files."""
     return sentencepiece.read_model(os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model"))
@@ -64,6 +74,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS)
 
 
+def op10_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"), Stash(spark))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
