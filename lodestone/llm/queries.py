@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsh, mixing, pivot_index, sentencepiece, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import class_lm, lsh, mixing, pivot_index, sentencepiece, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import Stash, table
 
 #: Production parameters.
@@ -19,6 +19,10 @@ CATEGORIES = ["low_quality", "toxic"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), Stash(spark))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), Stash(spark), keep=["doc_id"])
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")

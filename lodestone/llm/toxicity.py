@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import broadcast, received, slices, utf8
 
 #: Labelled rows that the models are fitted on, at most; a documented bound, the only one here.
 SAMPLE = 5_000
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str
 
 def _score(chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, models = Hasher(), chain.value
+        places, models = Hasher(), received(chain)
         for batch in slices(batches, 1):
             x = Rows.of([places(t) for t in batch.column(1).to_pylist()])
             found = apply_chain(models, x).reshape(batch.num_rows, len(models.models))
@@ -248,5 +248,5 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     The broadcast models have a fixed size: SPACE weights a category.
     """
     data = docs.select(F.struct(*(keep or [c for c in docs.columns if c != text])).alias("row"), utf8(text).alias("data"))
-    models = docs.sparkSession.sparkContext.broadcast(chain)
+    models = broadcast(docs.sparkSession, chain)
     return data.mapInArrow(_score(models), f"row {data.schema['row'].dataType.simpleString()}, probabilities array<double>")
