@@ -1,0 +1,3 @@
+"""Registered queries; importing the package registers them."""
+
+from . import quality  # noqa: F401
