@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them."""
 
-from . import quality  # noqa: F401
+from . import detection, quality, spans  # noqa: F401
