@@ -61,10 +61,15 @@ def _rate(m: Column, size: Column, mean: Column) -> Column:
     return F.least(F.lit(float(CEILING)), F.exp(m * size / mean))
 
 
+def full() -> Column:
+    """Whether the source's target is all it can give; its multiplier would be infinite."""
+    return F.col("target") >= CEILING * F.col("source_size")
+
+
 def multipliers(classes: DataFrame, targets: DataFrame, stash: Stash) -> DataFrame:
     """classes: source, size, n with size > 0. Returns targets with m, the dual multiplier, and mean, the mean size."""
     means = classes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    now = stash.save(targets.join(means, "source").select("source", "source_size", "target", "mean", F.lit(0.0).alias("m"), F.lit(-LIMIT).alias("low"), F.lit(LIMIT).alias("high"), F.lit(False).alias("done")))
+    now = stash.save(targets.join(means, "source").select("source", "source_size", "target", "mean", F.lit(0.0).alias("m"), F.lit(-LIMIT).alias("low"), F.lit(LIMIT).alias("high"), full().alias("done")))
     for _ in range(STEPS):
         size, scaled = F.col("size"), F.col("size") / F.col("mean")
         r = _rate(F.col("m"), size, F.col("mean"))
@@ -89,7 +94,7 @@ def multipliers(classes: DataFrame, targets: DataFrame, stash: Stash) -> DataFra
 def class_copies(classes: DataFrame, targets: DataFrame, stash: Stash) -> DataFrame:
     """Returns source, size, n, rate and copies, the whole number of copies that the class's documents take together."""
     found = multipliers(classes, targets, stash)
-    rated = classes.join(found, "source").select("source", "size", "n", "target", _rate(F.col("m"), F.col("size"), F.col("mean")).alias("rate"))
+    rated = classes.join(found, "source").select("source", "size", "n", "target", F.when(full(), float(CEILING)).otherwise(_rate(F.col("m"), F.col("size"), F.col("mean"))).alias("rate"))
     so_far = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
     whole = F.floor(so_far + 0.5)
     copies = whole - F.coalesce(F.lag(whole).over(Window.partitionBy("source").orderBy("size")), F.lit(0))
