@@ -5,7 +5,8 @@ word in turn moves to the class that raises the likelihood of the training class
 distributed, the classes are not: one pass over the corpus counts the bigrams of items, where an item is one of the ITEMS
 most frequent words or, for all other words, one of BUCKETS groups by word ending. From that table each sweep aggregates
 every item's class contexts, which are small whatever the corpus, and the exchanges of the sweep are decided on the
-driver. Half of the items may move in a sweep, so that moves rest on contexts that hold.
+driver. The CORE most frequent items go first, over their own table of bigrams, so that their contexts follow every
+move; later sweeps move the others, then halves of all items, so that moves rest on contexts that hold.
 
 Smoothing: class transitions back off to class frequencies (BACKOFF pseudo counts); a class emits a word of training
 count c with (c + 0.5) / (class tokens + 0.5 * (class words + 1)), where the last half count is for words not seen in
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import Stash, broadcast, received, slices, utf8
 
 #: Classes; words that are items of their own; groups of the other words by ending; sweeps of the exchange.
-CLASSES, ITEMS, BUCKETS, SWEEPS = 48, 4096, 256, 6
+CLASSES, ITEMS, BUCKETS, SWEEPS = 48, 4096, 256, 5
+#: Most frequent items whose exchange runs over their full table of bigrams, on the driver, and its rounds.
+CORE, ROUNDS = 768, 6
 #: Words whose counts go to every task, and the longest such word in bytes: a bound of TOP * LONGEST bytes. The counts of
 #: all other words are joined.
 TOP, LONGEST = 1 << 17, 64
@@ -102,32 +105,60 @@ def _bigrams(known):
     return run
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def _move(table: np.ndarray, x: np.ndarray, y: np.ndarray, was: int) -> int:
+    """Takes an item with contexts x (classes before) and y (after) out of its class, finds its best class, puts it in."""
+    table[:, was] -= x
+    table[was, :] -= y
+    np.maximum(table, 0, out=table)
+    rows, columns = table.sum(1), table.sum(0)
+    # The gain of class c: its column takes x, its row takes y, and so do the sums they are divided by.
+    gain = (_f(table + x[:, None]) - _f(table)).sum(0) + (_f(table + y[None, :]) - _f(table)).sum(1)
+    gain -= _f(columns + x.sum()) - _f(columns) + _f(rows + y.sum()) - _f(rows)
+    to = int(np.argmax(gain))
+    if gain[to] <= gain[was] + 1e-9:
+        to = was
+    table[:, to] += x
+    table[to, :] += y
+    return to
+
+
+def exchange_core(counts: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The exchange over items whose bigram counts are all at hand: contexts follow every move."""
+    m = len(counts)
+    classes = np.arange(m) % k
+    one = np.eye(k)[classes]
+    left, right = counts.T @ one, counts @ one
+    table = one.T @ right
+    for _ in range(rounds):
+        moved = 0
+        for w in np.argsort(-counts.sum(0), kind="stable").tolist():
+            was = classes[w]
+            to = _move(table, left[w].copy(), right[w].copy(), was)
+            if to != was:
+                moved += 1
+                classes[w] = to
+                left[:, was] -= counts[w]
+                left[:, to] += counts[w]
+                right[:, was] -= counts[:, w]
+                right[:, to] += counts[:, w]
+                table = np.eye(k)[classes].T @ right
+        if moved <= m // 100:
+            break
+    return classes
+
+
 def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, movable: np.ndarray) -> np.ndarray:
     """left, right: tokens of each item by the class before and after. Returns new classes; items move one by one."""
     k, classes = left.shape[1], classes.copy()
     table = np.zeros((k, k))
     np.add.at(table, classes, right)
-
-    def f(x):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-
     for w in movable[np.argsort(-left[movable].sum(1), kind="stable")].tolist():
-        was, x, y = classes[w], left[w], right[w]
-        if not x.any() and not y.any():
-            continue
-        table[:, was] -= x
-        table[was, :] -= y
-        np.maximum(table, 0, out=table)
-        rows, columns = table.sum(1), table.sum(0)
-        # The gain of class c: its column takes x, its row takes y, and so do the sums they are divided by.
-        gain = (f(table + x[:, None]) - f(table)).sum(0) + (f(table + y[None, :]) - f(table)).sum(1)
-        gain -= f(columns + x.sum()) - f(columns) + f(rows + y.sum()) - f(rows)
-        to = int(np.argmax(gain))
-        if gain[to] <= gain[was] + 1e-9:
-            to = was
-        classes[w] = to
-        table[:, to] += x
-        table[to, :] += y
+        if left[w].any() or right[w].any():
+            classes[w] = _move(table, left[w], right[w], classes[w])
     return classes
 
 
@@ -175,7 +206,11 @@ def train(docs: DataFrame, stash: Stash) -> tuple[Model, DataFrame]:
     sent = broadcast(spark, items)
     bigrams = stash.save(docs.select("data").mapInArrow(_bigrams(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     size = ITEMS + BUCKETS
-    now = np.arange(size) % CLASSES
+    pair = bigrams.select(F.floor(F.col("code") / size).cast("int").alias("i"), (F.col("code") % size).cast("int").alias("j"), "n")
+    core = pair.where((F.col("i") < CORE) & (F.col("j") < CORE)).toArrow()  # CORE squared rows at most
+    dense = np.zeros((CORE, CORE))
+    dense[core.column(0).to_numpy(), core.column(1).to_numpy()] = core.column(2).to_numpy()
+    now = np.r_[exchange_core(dense, CLASSES), np.arange(CORE, size) % CLASSES]
     best, best_score = now, -np.inf
     for sweep in range(SWEEPS + 1):
         left, right = _contexts(bigrams, now)
@@ -184,7 +219,8 @@ def train(docs: DataFrame, stash: Stash) -> tuple[Model, DataFrame]:
         if (score := likelihood(table)) > best_score:
             best, best_score, best_table = now, score, table
         if sweep < SWEEPS:
-            now = exchange(left, right, now, np.flatnonzero((np.arange(size) * 40503 >> 7) % 2 == sweep % 2))
+            item = np.arange(size)  # first all but the core, then halves
+            now = exchange(left, right, now, item[item >= CORE] if not sweep else item[(item * 40503 >> 7) % 2 == sweep % 2])
     stash.drop(bigrams)
     return _model(counts, words, often, best, best_table, n, v), counts
 
