@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them."""
 
-from . import detection, logs, quality, spans, text  # noqa: F401
+from . import detection, lineage, logs, quality, spans, text  # noqa: F401

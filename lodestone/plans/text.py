@@ -134,11 +134,11 @@ def repeated_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("up <= 3 or down <= 3").groupBy("conv_id", "line").agg(F.countDistinct("turn").alias("pages"), F.min("turn").alias("first_turn")).where("pages >= 2")
 
 
-@register("supplement_antijoin", f"SELECT doc_id, count(*) AS kept, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM {_LINES} l WHERE line != '' AND NOT EXISTS (SELECT 1 FROM (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM benchmark UNION SELECT lower(line) FROM {_LINES} WHERE doc_id % 10 = 0) b WHERE b.k = lower(l.line)) GROUP BY doc_id")
+@register("supplement_antijoin", f"SELECT doc_id, count(*) AS kept, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM {_LINES} l WHERE line != '' AND NOT EXISTS (SELECT 1 FROM (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM benchmark) b WHERE b.k = lower(l.line)) GROUP BY doc_id")
 def supplement_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are not among the known ones, in their order."""
     own = lines(spark, sf_dir).where("line != ''").withColumn("k", F.lower("line"))
-    known = table(spark, sf_dir, "benchmark").select(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("k")).union(own.where("doc_id % 10 = 0").select("k")).distinct()
+    known = table(spark, sf_dir, "benchmark").select(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("k")).distinct()
     kept = own.join(known, "k", "left_anti")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
     return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.md5(text.cast("binary")).alias("digest"))
@@ -219,12 +219,15 @@ def lineage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHARS = "(SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split({t}, '')) AS c FROM documents) WHERE c NOT IN (' ', chr(10)) GROUP BY ALL)"
 
 
-@register("char_coverage", f"SELECT r.doc_id, bool_and(coalesce(s.n, 0) >= r.n) AS covered, count(*) FILTER (coalesce(s.n, 0) < r.n) AS short FROM {_CHARS.format(t='text')} r LEFT JOIN {_CHARS.format(t='substr(text, 1, 2000)')} s USING (doc_id, c) GROUP BY r.doc_id")
+_WITHOUT_E = "replace(text, chr(101), '')"
+
+
+@register("char_coverage", f"SELECT r.doc_id, bool_and(coalesce(s.n, 0) >= r.n) AS covered, count(*) FILTER (coalesce(s.n, 0) < r.n) AS short FROM {_CHARS.format(t='text')} r LEFT JOIN {_CHARS.format(t=_WITHOUT_E)} s USING (doc_id, c) GROUP BY r.doc_id")
 def char_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a source holds every character of the raw text at least as often."""
     docs = table(spark, sf_dir, "documents")
     count = lambda t, n: docs.select("doc_id", F.explode(F.split(t, "")).alias("c")).where("c not in (' ', '\\n', '')").groupBy("doc_id", "c").agg(F.count("*").alias(n))
-    j = count(F.col("text"), "n").join(count(F.substring("text", 1, 2000), "m"), ["doc_id", "c"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    j = count(F.col("text"), "n").join(count(F.replace("text", F.lit("e")), "m"), ["doc_id", "c"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
     return j.groupBy("doc_id").agg(F.bool_and(F.col("m") >= F.col("n")).alias("covered"), F.count_if(F.col("m") < F.col("n")).alias("short"))
 
 
