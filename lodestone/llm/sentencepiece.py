@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -169,23 +170,28 @@ class Coder:
             before = np.where(live, back[at, every], 0)
             out.append((ids, before))
             at = before
-        found: list[list[int]] = []
-        columns = np.stack([c[0] for c in out], 1)
-        places = np.stack([c[1] for c in out], 1)
-        for row, (own, where) in enumerate(zip(columns.tolist(), places.tolist(), strict=True)):
-            ids: list[int] = []
-            missing = False
-            for i, p in zip(reversed(own), reversed(where), strict=True):
-                if i >= 0:
-                    ids.append(i)
-                    missing = False
-                elif i == -1:
-                    if self.byte:
-                        ids += [self.byte[b] for b in chr(int(points[row, p])).encode()]
-                    elif not missing:  # neighbouring unknown characters make one unknown piece
-                        ids.append(self.unknown)
-                    missing = True
-            found.append(ids)
+        columns = np.stack([c[0] for c in out[::-1]], 1)
+        there = columns != -2
+        flat, ends = columns[there].tolist(), there.sum(1).cumsum().tolist()
+        found = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if (lacking := np.flatnonzero((columns == -1).any(1))).size:
+            places = np.stack([c[1] for c in out[::-1]], 1)
+            for row in lacking.tolist():
+                found[row] = self._fall_back(points[row], columns[row][there[row]].tolist(), places[row][there[row]].tolist())
+        return found
+
+    def _fall_back(self, points: np.ndarray, ids: list[int], places: list[int]) -> list[int]:
+        """Puts bytes, or one unknown piece for neighbouring characters, where a character has no piece (-1)."""
+        found: list[int] = []
+        missing = False
+        for i, p in zip(ids, places, strict=True):
+            if i >= 0:
+                found.append(i)
+            elif self.byte:
+                found += [self.byte[b] for b in chr(int(points[p])).encode()]
+            elif not missing:
+                found.append(self.unknown)
+            missing = i < 0
         return found
 
     def _learn(self, words: set[str]) -> dict[str, list[int]]:
@@ -207,6 +213,8 @@ class Coder:
         if self.model.prefix and text:
             marked = SPACE + marked
         parts = marked.split(SPACE)
+        if "" not in parts[1:]:
+            return [*parts[:1], *[SPACE + p for p in parts[1:]]] if parts[0] else [SPACE + p for p in parts[1:]]
         words, spaces = [parts[0]] if parts[0] else [], 0
         for part in parts[1:]:
             spaces += 1
@@ -219,16 +227,10 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         cut = [None if t is None else self.cut(t) for t in texts]
-        now, fresh = {}, set()
-        for own in cut:
-            for w in own or ():
-                if w not in now:
-                    ids = self.known.get(w) or self.before.get(w)
-                    now[w] = ids
-                    if ids is None:
-                        fresh.add(w)
-        now.update(self._learn(fresh))
-        out = [None if own is None else [i for w in own for i in now[w]] for own in cut]
+        known, before = self.known, self.before
+        now = {w: known.get(w) or before.get(w) for w in set().union(*filter(None, cut))}
+        now.update(self._learn({w for w, ids in now.items() if ids is None}))
+        out = [None if own is None else list(chain.from_iterable(map(now.__getitem__, own))) for own in cut]
         for w, ids in now.items():
             if len(w) <= LONGEST:
                 self.known[w] = ids
@@ -242,7 +244,7 @@ class Coder:
             if ids is None:
                 out.append(None)
                 continue
-            data = b"".join([pieces[i] for i in ids])
+            data = b"".join(map(pieces.__getitem__, ids))
             if self.model.prefix and data[:1] == b" ":
                 data = data[1:]
             out.append(data.decode(errors="replace"))
@@ -262,8 +264,11 @@ def _encode(model):
             ids = coder.encode(texts)
             back = coder.decode(ids)
             count = [None if i is None else len(i) for i in ids]
+            offsets = np.r_[0, np.cumsum([n or 0 for n in count])].astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(filter(None, ids)), np.int32, offsets[-1])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([i is None for i in ids]))
             same = [None if t is None else t.replace(SPACE, " ") == b for t, b in zip(texts, back, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(count, pa.int64()), pa.array(same, pa.bool_())], names=["row", "ids", "n_tokens", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(count, pa.int64()), pa.array(same, pa.bool_())], names=["row", "ids", "n_tokens", "round_trip"])
 
     return run
 
