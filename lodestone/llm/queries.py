@@ -86,5 +86,21 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: By brute force: every window against every other.
+_OP8 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS v FROM w, range(1, len(ws) - 33) t(i)),
+  dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY v) AS n FROM win) WHERE n > 1),
+  gone AS (SELECT DISTINCT doc_id, i + j AS p FROM dup, range(0, 35) t(j)),
+  word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+  SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+_OP10 = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+  l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id != b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+  r(vec_id, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c),
+  n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+  SELECT r.vec_id, coalesce(max(n.n), 0)::BIGINT AS n_links, min(r.c) AS component_id, r.vec_id = min(r.c) AS kept FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express an operator on whole tables; the others are held against brute force in the tests."""
+    return {"op8_substring_dedup": _OP8, "op10_pivot_near_dedup": _OP10}
