@@ -8,9 +8,10 @@ a cover sample of the piece positions (residues modulo COVER whose differences g
 prefix doubling; from any suffix a sampled position is less than COVER away, and the suffixes of a block are aligned, so
 one rank stands for the bytes in the middle.
 
-Defined cases: a null text is empty; a text shorter than LENGTH keeps all; a null id counts as the largest; rows that
-repeat an id but not the text are ordered among each other by a hash of the text; rows that repeat both keep or lose the
-same bytes, neither is earlier than the other; matches never cross documents; an empty table gives an empty result; other
+Defined cases: a null text is empty; a text shorter than LENGTH keeps all; a null id counts as the largest, and
+rows without one are documents of their own, ordered by a number written with them; rows that repeat an id but not the
+text are ordered among each other by a 64-bit hash of the text; rows that repeat both keep or lose the same bytes, neither
+is earlier than the other; matches never cross documents; an empty table gives an empty result; other
 columns pass through inside ``row``.
 """
 
@@ -32,8 +33,6 @@ GRAM, COVER = 16, 16
 BUCKET = 4096
 #: Bytes of pieces that are sorted together.
 BLOCK = 1 << 20
-#: Bits of the text's hash that tell rows with one id apart.
-TWIN = 24
 _HASH = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -56,7 +55,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-_RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int32()), ("s", pa.int32()), ("n", pa.int32())])
+_RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
 
 
 def _minimisers(length: int):
@@ -101,7 +100,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None if batch is None else now.slice(end)
 
 
-_PIECES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int32()), ("s", pa.int32()), ("piece", pa.binary())])
+_PIECES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("s", pa.int32()), ("piece", pa.binary())])
 
 
 def _pieces(length: int):
@@ -118,7 +117,7 @@ def _pieces(length: int):
     return run
 
 
-_SPANS = pa.schema([("doc", pa.int64()), ("twin", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("digest", pa.binary())])
+_SPANS = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("digest", pa.binary())])
 
 
 class Sorter:
@@ -281,17 +280,17 @@ def remove_repeats(docs: DataFrame, stash: Stash, length: int = 100, doc_id: str
     if length < 3 * COVER:
         raise ValueError(f"length must be {3 * COVER} or more")
     n = partitions(docs.sparkSession)
-    twin = F.pmod(F.xxhash64(text), F.lit(1 << TWIN)).cast("int")
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     row = F.struct(*[c for c in docs.columns if c != text])
-    keyed = docs.select(doc.alias("doc"), twin.alias("twin"), utf8(text).alias("data"), row.alias("row"))
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("twin"), utf8(text).alias("data"), row.alias("row"))
+    nameless = stash.save(keyed.where("doc is null").withColumn("twin", F.monotonically_increasing_id()))
+    keyed = keyed.where("doc is not null").unionByName(nameless.withColumn("doc", F.lit((1 << 63) - 1)))
     data = keyed.select("doc", "twin", "data")
-    runs = data.mapInArrow(_minimisers(length), "key long, doc long, twin int, s int, n int")
-    shared = stash.save(runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc long, twin int, s int, n int"))
+    runs = data.mapInArrow(_minimisers(length), "key long, doc long, twin long, s int, n int")
+    shared = stash.save(runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc long, twin long, s int, n int"))
     of_doc = shared.groupBy("doc", "twin").agg(F.collect_set(F.struct("key", "s", "n")).alias("runs"))
-    pieces = data.join(of_doc, ["doc", "twin"]).select("doc", "twin", "data", "runs").mapInArrow(_pieces(length), "key long, doc long, twin int, s int, piece binary")
+    pieces = data.join(of_doc, ["doc", "twin"]).select("doc", "twin", "data", "runs").mapInArrow(_pieces(length), "key long, doc long, twin long, s int, piece binary")
     by_key = pieces.repartition(n, "key").sortWithinPartitions("key", "piece", "doc", "twin", "s")
-    found = stash.save(by_key.mapInArrow(_buckets(length, bucket, block), "doc long, twin int, s int, e int, digest binary"))
+    found = stash.save(by_key.mapInArrow(_buckets(length, bucket, block), "doc long, twin long, s int, e int, digest binary"))
     stash.drop(shared)
     hot = found.where("digest is not null")
     earliest = hot.groupBy("digest").agg(F.min(F.struct("doc", "twin", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")

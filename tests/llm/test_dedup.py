@@ -93,6 +93,36 @@ def test_suffixes_repeated_rows_and_null_ids(spark):
     assert sorted((str(r.row.doc_id), r.n_removed) for r in out) == [("0", 0), ("1", 0), ("1", 0), ("None", 120)]
 
 
+def colliding(n):
+    """n pairs of texts whose hashes agree in the last 24 bits."""
+    rng, seen, out = random.Random(3), {}, []
+    while len(out) < n:
+        t = "".join(rng.choice("abcdefgh ") for _ in range(220))
+        h = xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFF
+        if h in seen:
+            out.append((seen[h], t))
+        seen[h] = t
+    return out
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_suffixes_rows_that_share_an_id(spark, doc_id, bucket):
+    pairs = colliding(3)
+    rows = [(doc_id, t) for pair in pairs for t in pair] + [(1, "x" + pairs[0][0][:150]), (2, pairs[1][1][20:180])]
+    out = suffix_dedup.remove_repeats(frame(spark, rows), Stash(spark), bucket=bucket).collect()
+    kept = Counter((r.row.doc_id, bytes(r.kept).decode()) for r in out)
+    want = Counter((doc_id, t) for pair in pairs for t in pair) + Counter(rows[-2:])
+    want -= Counter([(doc_id, pairs[0][0]), (doc_id, pairs[1][1])])
+    assert kept == want + Counter([(doc_id, pairs[0][0][150:]), (doc_id, pairs[1][1][:20] + pairs[1][1][180:])])
+
+
+def test_suffixes_copies_without_ids(spark):
+    text = colliding(1)[0][0]
+    out = suffix_dedup.remove_repeats(frame(spark, [(None, text)] * 5 + [(None, None), (None, "short")]), Stash(spark)).collect()
+    assert sorted(r.n_removed for r in out) == [0, 0, 0, 220, 220, 220, 220]
+
+
 def test_difference_cover():
     cover = suffix_dedup.difference_cover(16)
     assert {(a - b) % 16 for a in cover for b in cover} == set(range(16)) and len(cover) == 5
