@@ -9,8 +9,8 @@ largest coordinate difference, and the survivors are verified bit by bit.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; fewer words than a shingle give one
 shingle of all words; repeated shingles count each time; copies share a fingerprint and are linked through it, never
-pair by pair; a null id gets the component of its fingerprint but is never its least member (null where no row of the
-component has an id); an empty table gives an empty result; other columns are not read.
+pair by pair; rows without an id link like any other but are never the least member (the component is null where none of
+its rows has an id); an id with several texts stands at each of their fingerprints; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -191,7 +191,9 @@ def links(prints: DataFrame, stash: Stash, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, stash: Stash, size: int = 3, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """Returns row (all columns but the text), print (long) and component_id (least id of the rows reachable by links)."""
     prints = stash.save(fingerprints(docs, size, text))
-    groups = stash.save(prints.groupBy("print").agg(F.min(f"row.{doc_id}").cast("long").alias("rep")))
-    found = components(links(groups, stash, bucket), stash)
-    label = groups.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    groups = stash.save(prints.groupBy("print").agg(F.min(f"row.{doc_id}").cast("long").alias("least")))
+    found = components(links(groups.select("print", F.col("print").alias("rep")), stash, bucket), stash)
+    member = stash.save(groups.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component")))
+    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = member.join(ids, "component").select("print", "component_id")
     return prints.join(label, "print").select("row", "print", "component_id")

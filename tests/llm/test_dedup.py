@@ -195,6 +195,19 @@ def test_simhash_nulls(spark):
     assert sorted((str(r.row.doc_id), str(r.component_id)) for r in out) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
 
 
+def test_simhash_links_through_rows_without_ids(spark, monkeypatch):
+    """5 and 8 are linked only through a null id; 2 stands at two fingerprints that nothing links."""
+    prints = {"a": 0, "b": 7, "c": 63, "d": -1 << 40, "e": 0x5555555555555555, "f": 0x5555555555555554}
+    shown = lambda docs, size, text: docs.select(F.struct("doc_id").alias("row"), F.expr("case text " + " ".join(f"when '{k}' then {v}L" for k, v in prints.items()) + " end").alias("print"))
+    monkeypatch.setattr(simhash, "fingerprints", shown)
+    rows = [(5, "a"), (None, "b"), (8, "c"), (2, "d"), (2, "e"), (9, "f"), (None, "d")]
+    out = simhash.near_duplicates(frame(spark, rows), Stash(spark)).collect()
+    assert {(r.row.doc_id, r.print): r.component_id for r in out} == {(5, 0): 5, (None, 7): 5, (8, 63): 5, (2, -1 << 40): 2, (None, -1 << 40): 2, (2, 0x5555555555555555): 2, (9, 0x5555555555555554): 2}
+    rows = [(5, "a"), (5, "e"), (3, "b"), (4, "f")]
+    out = simhash.near_duplicates(frame(spark, rows), Stash(spark)).select("row.doc_id", "print", "component_id").collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(5, 3), (3, 3), (5, 4), (4, 4)}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), (None, 4)], [(i, i + 1) for i in range(50)], [(0, i) for i in range(1, 40)]])
 def test_components(spark, rows):
     stash = Stash(spark)
