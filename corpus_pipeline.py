@@ -19,15 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the least id stays; one row of those that repeat an id.
+    """Of each component of linked fingerprints the row with the least id stays, of those that repeat it the one whose text has the least hash.
 
-    A document without an id works under a large number made from its text, so that ids go before it.
+    A document without an id works under a large number made from its text, so that ids go before it. Rows are told apart
+    by a number written with them, so that rows that share an id but not a component all count.
     """
+    stash = Stash(spark)
     own = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    named = docs.select(own.alias("own"), *COLUMNS)
-    found = simhash.near_duplicates(named.select("own", "text"), Stash(spark), doc_id="own")
-    kept = found.where("row.own = component_id").select("row.own").distinct()
-    return named.join(kept, "own").dropDuplicates(["own"]).select(COLUMNS)
+    named = stash.save(docs.select(F.monotonically_increasing_id().alias("at"), own.alias("own"), *COLUMNS))
+    found = simhash.near_duplicates(named.select("at", "own", F.xxhash64("text").alias("hash"), "text"), stash, doc_id="at")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("row.own", "row.hash", "row.at")).getField("at").alias("at"))
+    return named.join(kept.select("at"), "at").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

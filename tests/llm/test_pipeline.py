@@ -88,3 +88,13 @@ def test_odd_documents(spark, tmp_path, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stash.save(stage(spark, docs, str(tmp_path)))
     assert docs.collect() == []
+
+
+def test_unlike_rows_that_share_an_id_stay(spark):
+    """Of id 1 the near copy of id 0 goes and the two other texts stay, each once."""
+    a, b, c = (" ".join(f"{k}{i * i % 97}" for i in range(60)) for k in "abc")
+    rows = [(0, a), (1, a), (1, b), (1, c), (1, c), (None, b), (None, c + " and quite another end of it " * 20)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, None)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("0", a), ("1", b), ("1", c), ("None", rows[-1][1])])
