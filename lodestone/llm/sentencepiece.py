@@ -267,7 +267,7 @@ def _encode(model):
             offsets = np.r_[0, np.cumsum([n or 0 for n in count])].astype(np.int32)
             flat = np.fromiter(chain.from_iterable(filter(None, ids)), np.int32, offsets[-1])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([i is None for i in ids]))
-            same = [None if t is None else t.replace(SPACE, " ") == b for t, b in zip(texts, back, strict=True)]
+            same = [None if t is None else t == b for t, b in zip(texts, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(count, pa.int64()), pa.array(same, pa.bool_())], names=["row", "ids", "n_tokens", "round_trip"])
 
     return run

@@ -387,3 +387,9 @@ def test_probe_order():
     sets = lsh.probe_sets(6, 40)
     assert sets[:2] == [(), (0,)] and len(set(sets)) == 40
     assert all(11 - p not in s for s in sets for p in s)
+
+
+def test_round_trip_compares_the_unchanged_text(spark):
+    """A text that holds the model's mark of a space does not come back."""
+    docs = spark.createDataFrame([(1, "a\u2581b"), (2, "a b")], "doc_id long, text string")
+    assert {r.row.doc_id: r.round_trip for r in sentencepiece.encode(docs, tokenizer()).collect()} == {1: False, 2: True}
