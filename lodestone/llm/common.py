@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java regular expression of a word: anything but the ASCII white space that ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,10 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(spark: SparkSession, most: int = 1 << 23) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker, unless the session's bound is smaller."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(most + 1)).rstrip("bB")) > most:
+        spark.conf.set(name, str(most))
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage: a lost executor costs a re-read, not a recomputation."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
@@ -71,9 +80,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark resolves it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(names: list[str]) -> F.Column:
+    """A struct ``row`` of the columns so named; without any, of one null, as a struct needs a field."""
+    return F.struct(*[F.col(quoted(n)).alias(n) for n in names] or [F.lit(None).cast("int").alias("none")]).alias("row")
+
+
+def with_row(data: DataFrame, ddl: str) -> StructType:
+    """The schema of ``data``'s column row and further fields."""
+    return StructType([data.schema["row"], *StructType.fromDDL(ddl).fields])
+
+
 def utf8(column: str = "text") -> F.Column:
     """The text's UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+    return F.coalesce(F.col(quoted(column)).cast("binary"), F.lit(b""))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -183,6 +183,27 @@ def test_agrees_with_the_library_on_words(coder):
     assert same > 430  # the rest are ties or the hair
 
 
+def test_a_hash_that_fits_is_not_a_piece(coder):
+    """A word whose hash is taken for that of another piece is cut as by comparing strings."""
+    word = "▁zzq"
+    points = np.array([list(map(ord, word))], np.uint32)
+    want = coder._search(points)[0]
+    assert coder._plain(points[0]) == want
+    other = sentencepiece.Coder(coder.model)
+    key, taken = other._hash(points.astype(np.uint64))[0], 7
+    at = int(np.searchsorted(other.keys, key))
+    other.keys, other.ids = np.insert(other.keys, at, key), np.insert(other.ids, at, other.ids[taken])
+    other.scores = np.insert(other.scores, at, 0.0)
+    other.present[key >> other.shift] = True
+    assert other._search(points)[0] == want
+
+
+def test_encode_bytes_that_are_no_text(spark):
+    df = spark.createDataFrame([(1, b"ab\xff c\xc3"), (2, "\u00e9".encode())], "`a.b c:d` int, text binary")
+    got = sentencepiece.encode(df, tokenizer()).collect()
+    assert [r.round_trip for r in got] == [True, True] and got[0].row["a.b c:d"] == 1
+
+
 def test_encode_frame(spark):
     rows = [(i, t, "s") for i, t in enumerate([*ODD, None, "same", "same"])]
     out = sentencepiece.encode(docs(spark, rows), tokenizer())
