@@ -2,22 +2,23 @@
 
 Blockwise suffix sorting with a difference cover. A suffix belongs to the bucket of its minimiser (the gram of GRAM bytes
 with the least hash among the first LENGTH bytes), so equal strings share a bucket; consecutive suffixes with one
-minimiser travel as one piece of text. Buckets whose minimiser occurs once cannot hold a repeat and are never shipped.
-In a bucket, suffixes are sorted one block at a time (those at one distance from the minimiser). Long ties cost nothing:
-a cover sample of the piece positions (residues modulo COVER whose differences give all residues) is ranked beforehand by
-prefix doubling; from any suffix a sampled position is less than COVER away, and the suffixes of a block are aligned, so
-one rank stands for the bytes in the middle.
-
-Defined cases: a null text is empty; a text shorter than LENGTH keeps all; a null id counts as the largest, and
-rows without one are documents of their own, ordered by a number written with them; rows that repeat an id but not the
-text are ordered among each other by a 64-bit hash of the text; rows that repeat both keep or lose the same bytes, neither
-is earlier than the other; matches never cross documents; an empty table gives an empty result; other
-columns pass through inside ``row``.
+minimiser travel as one piece of text (see runs.py). Buckets whose minimiser occurs once cannot hold a repeat and are
+never shipped. In a bucket, suffixes are sorted one block at a time (those at one distance from the minimiser). Long ties
+cost nothing: a cover sample of the piece positions (residues modulo COVER whose differences give all residues) is ranked
+beforehand by prefix doubling; from any suffix a sampled position is less than COVER away, and the suffixes of a block are
+aligned, so one rank stands for the bytes in the middle. A bucket of more than BUCKET pieces is dealt out again, by whole
+strings: what comes together there is sorted as strings. Strings are compared byte by byte everywhere.
+
+Defined cases: a null text is empty; a text shorter than LENGTH keeps all; a very long text is cut into stretches that
+overlap by LENGTH - 1 bytes while its runs are made; a null id counts as the largest, and rows without one are documents
+of their own, ordered by a number written with them; rows that repeat an id but not the text are ordered among each other
+by a 64-bit hash of the text; rows that repeat both keep or lose the same bytes, neither is earlier than the other;
+matches never cross documents; an empty table gives an empty result; other columns pass through inside ``row``, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -26,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, merge_spans, mix64, partitions, slices, sliding_argmin, utf8
+from .common import Stash, mix64, packed, quoted, slices, sliding_argmin, utf8, with_row
+from .runs import HOT_WAITING, PIECES, PIECES_SQL, SCHEMA_SQL, SPANS, SPANS_SQL, WAITING, HotWindows, Sums, Waiting, by_bucket, merged, of_texts, record, shared, spans, starts, unpack
 
-GRAM, COVER = 16, 16
-#: Different pieces of one bucket that are held in memory; beyond, windows are compared by 128-bit digests.
+GRAM, COVER = 32, 16
+#: Runs of one bucket that are sorted in one task; the windows of larger ones are dealt out again, each by itself.
 BUCKET = 4096
+#: Bytes of texts whose runs are made together.
+STRETCH = 1 << 20
 #: Bytes of pieces that are sorted together.
 BLOCK = 1 << 20
-_HASH = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_HASH = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
 def difference_cover(v: int) -> list[int]:
@@ -47,7 +51,7 @@ def difference_cover(v: int) -> list[int]:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all grams of GRAM = 16 bytes, by doubling."""
+    """Hashes of all grams of GRAM = 32 bytes, by doubling."""
     h, step = data.astype(np.uint64) + np.uint64(1), 1
     for c in _HASH:
         h = h[: max(0, len(h) - step)] * np.uint64(c) + h[step:]
@@ -55,71 +59,69 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-_RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+def _stretches(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, place, bytes) of about STRETCH bytes in all; every window is in one of them."""
+    own, size = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, STRETCH):
+            own.append((i, at, text[at : at + STRETCH + length - 1]))
+            size += len(own[-1][2])
+            if size >= STRETCH:
+                yield own
+                own, size = [], 0
+    if own:
+        yield own
 
 
 def _minimisers(length: int):
-    """doc, twin, data -> runs: n windows from s on whose minimiser is the gram with hash key."""
+    """doc, twin, data -> the runs of windows whose minimiser is the gram with hash key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1 << 20):
+        sums, waiting = Sums(), Waiting(length, False, lambda text, s, n: text[s : s + n + length - 1])
+        for batch in slices(batches, 2, STRETCH):
             texts = batch.column(2).to_pylist()
-            h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
-            at = sliding_argmin(h, length - GRAM + 1)
-            base, firsts, counts, owners = 0, [], [], []
-            for i, text in enumerate(texts):
-                if len(text) >= length:
-                    own = at[base : base + len(text) - length + 1]
-                    first = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
-                    counts.append(np.diff(np.r_[first, len(own)]))
-                    firsts.append(np.stack([first, own[first]]))
-                    owners.append(np.full(len(first), i))
-                base += len(text)
-            if firsts:
-                first, owner = np.concatenate(firsts, 1), np.concatenate(owners)
-                doc, twin = batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(h[first[1]].view(np.int64)), pa.array(doc), pa.array(twin), pa.array(first[0].astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))], schema=_RUNS)
+            docs, twins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for own in _stretches(texts, length):
+                raw = np.frombuffer(b"".join(t for _, _, t in own), np.uint8)
+                h = gram_hashes(raw)
+                at = sliding_argmin(h, length - GRAM + 1)
+                base, found = 0, []
+                for i, place, text in own:
+                    first, n = starts(at[base : base + len(text) - length + 1])
+                    found.append(np.stack([np.full(len(first), i), np.full(len(first), place - base), base + first, n]))
+                    base += len(text)
+                owner, shift, begin, n = np.concatenate(found, 1)
+                code = sums.hashes(raw.astype(np.uint64), begin, begin + n + length - 1)
+                waiting.add(texts, h[at[begin]].view(np.int64), code, owner, docs[owner], twins[owner], begin + shift, n)
+            if waiting.size > WAITING:
+                yield waiting.batch()
+        yield waiting.batch()
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key those whose key another row has; only one row waits for the next batch."""
-    rest, last = None, None
-    for batch in itertools.chain(batches, [None]):
-        now = rest if batch is None else batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        if now is None or not now.num_rows:
-            continue
-        key = now.column(0).to_numpy()
-        same = np.r_[key[0] == last if last is not None else False, key[1:] == key[:-1]]
-        shared = same | np.r_[same[1:], False]
-        end = now.num_rows if batch is None else now.num_rows - 1
-        yield now.slice(0, end).filter(pa.array(shared[:end]))
-        if end:
-            last = key[end - 1]
-        rest = None if batch is None else now.slice(end)
-
-
-_PIECES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("s", pa.int32()), ("piece", pa.binary())])
-
-
 def _pieces(length: int):
-    """doc, twin, data, runs -> the text of each run."""
+    """doc, twin, data, runs -> the text of each run; of a hot one, of each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_windows = HotWindows(length, False)
         for batch in slices(batches, 2):
+            texts, docs, twins = batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for doc, twin, data, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(r["key"], doc, twin, r["s"], data[r["s"] : r["s"] + r["n"] + length - 1]) for r in runs]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
+            for i, key, s, n, hot in zip(*(x.tolist() for x in unpack(batch.column(3))), strict=True):
+                if hot:
+                    for j in range(s, s + n):
+                        hot_windows.add(docs[i], twins[i], j, texts[i][j : j + length])
+                    if len(hot_windows.first) + len(hot_windows.done) > HOT_WAITING:
+                        rows += hot_windows.rows()
+                else:
+                    rows.append((False, key, docs[i], twins[i], s, texts[i][s : s + n + length - 1]))
+            yield record(rows, PIECES)
+        yield record(hot_windows.rows(), PIECES)
 
     return run
 
 
-_SPANS = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("digest", pa.binary())])
-
-
 class Sorter:
     """Sorts the suffixes of the pieces of several buckets and finds those that an earlier one equals."""
 
@@ -197,64 +199,53 @@ class Sorter:
         return rank[np.maximum(index[np.minimum(at, len(index) - 1)], 0)]
 
 
-def _buckets(length: int, bucket: int, block: int):
+def _buckets(length: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorter, rows = Sorter(length), []
         waiting: list[tuple] = []  # buckets to be sorted together
         held = 0
 
-        def spans(piece: tuple, flags: np.ndarray) -> None:
-            edge = np.flatnonzero(np.diff(np.r_[0, flags, 0]))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                rows.append((piece[1], piece[2], piece[3] + a, piece[3] + b - 1 + length, None))
-
         def sort() -> None:
             nonlocal held
             if waiting:
                 for piece, flags in zip(waiting, sorter.flags(waiting), strict=True):
-                    spans(piece, flags)
+                    edge = np.flatnonzero(np.diff(np.r_[0, flags, 0]))
+                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                        rows.append((piece[1], piece[2], piece[3] + a, piece[3] + b - 1 + length))
             waiting.clear()
             held = 0
 
-        def windows(piece: tuple) -> None:
-            data = piece[4]
-            rows.extend((piece[1], piece[2], piece[3] + j, piece[3] + j + length, hashlib.blake2b(data[j : j + length], digest_size=16).digest()) for j in range(len(data) - length + 1))
-
-        def send() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPANS, strict=True)], schema=_SPANS)
+        def close(group: list[tuple]) -> None:
+            nonlocal held
+            if len(group) > 1:
+                waiting.extend(group)
+                held += sum(len(p[4]) for p in group)
+                if held > block:
+                    sort()
 
         group: list[tuple] = []  # different pieces of the bucket, each where it first stands
-        key, piece, first, hot = None, None, None, False
+        key, piece, first = None, None, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != key:
-                    if len(group) > 1:
-                        waiting.extend(group)
-                        held += sum(len(p[4]) for p in group)
-                        if held > block:
-                            sort()
-                    group, key, piece, hot = [], row[0], None, False
+            for hot, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot is None:  # a finished span
+                    rows.append((row[1], row[2], row[3], row[3] + length))
+                    continue
+                if (hot, row[0]) != key:
+                    close(group)
+                    group, key, piece = [], (hot, row[0]), None
                 if row[4] == piece:  # sorted by piece, id and place: an earlier row has the same windows
                     if row[1:4] != first:
-                        rows.append((row[1], row[2], row[3], row[3] + len(piece), None))
+                        rows.append((row[1], row[2], row[3], row[3] + len(piece)))
                     continue
                 piece, first = row[4], row[1:4]
-                if hot:
-                    windows(row)
-                else:
+                if not hot:  # a hot window equals another one as a whole or not at all
                     group.append(row)
-                    if len(group) > bucket:
-                        for p in group:
-                            windows(p)
-                        group, hot = [], True
                 if len(rows) > 20_000:
-                    yield send()
-        if len(group) > 1:
-            waiting.extend(group)
+                    yield record(rows, SPANS)
+                    rows.clear()
+        close(group)
         sort()
-        yield send()
+        yield record(rows, SPANS)
 
     return run
 
@@ -262,11 +253,10 @@ def _buckets(length: int, bucket: int, block: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1, 1 << 23):
         n_bytes, n_removed, n_spans, texts = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, own in zip(batch.column(1).to_pylist(), merged(batch.column(2)), strict=True):
             kept, count = text, 0
-            if spans:
-                a = np.array([(x["s"], x["e"]) for x in spans])
-                s, e = (x.tolist() for x in merge_spans(a[:, 0], a[:, 1]))
+            if own:
+                s, e = own
                 kept, count = b"".join(text[x:y] for x, y in zip([0, *e], [*s, len(text)], strict=True)), len(s)
             n_bytes.append(len(text))
             n_removed.append(len(text) - len(kept))
@@ -279,24 +269,14 @@ def remove_repeats(docs: DataFrame, stash: Stash, length: int = 100, doc_id: str
     """Returns row (a struct of all columns but the text), n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
     if length < 3 * COVER:
         raise ValueError(f"length must be {3 * COVER} or more")
-    n = partitions(docs.sparkSession)
-    row = F.struct(*[c for c in docs.columns if c != text])
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("twin"), utf8(text).alias("data"), row.alias("row"))
+    row = packed([c for c in docs.columns if c != text])
+    keyed = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc"), F.xxhash64(quoted(text)).alias("twin"), utf8(text).alias("data"), row)
     nameless = stash.save(keyed.where("doc is null").withColumn("twin", F.monotonically_increasing_id()))
     keyed = keyed.where("doc is not null").unionByName(nameless.withColumn("doc", F.lit((1 << 63) - 1)))
     data = keyed.select("doc", "twin", "data")
-    runs = data.mapInArrow(_minimisers(length), "key long, doc long, twin long, s int, n int")
-    shared = stash.save(runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc long, twin long, s int, n int"))
-    of_doc = shared.groupBy("doc", "twin").agg(F.collect_set(F.struct("key", "s", "n")).alias("runs"))
-    pieces = data.join(of_doc, ["doc", "twin"]).select("doc", "twin", "data", "runs").mapInArrow(_pieces(length), "key long, doc long, twin long, s int, piece binary")
-    by_key = pieces.repartition(n, "key").sortWithinPartitions("key", "piece", "doc", "twin", "s")
-    found = stash.save(by_key.mapInArrow(_buckets(length, bucket, block), "doc long, twin long, s int, e int, digest binary"))
-    stash.drop(shared)
-    hot = found.where("digest is not null")
-    earliest = hot.groupBy("digest").agg(F.min(F.struct("doc", "twin", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = hot.join(earliest, "digest").where(F.struct("doc", "twin", "s") != F.col("first"))
-    spans = found.where("digest is null").select("doc", "twin", "s", "e").unionByName(later.select("doc", "twin", "s", "e"))
-    spans = spans.groupBy("doc", "twin").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    joined = keyed.join(spans, ["doc", "twin"], "left").select("row", "data", "spans")
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.mapInArrow(_cut, schema)
+    found = stash.save(shared(data.mapInArrow(_minimisers(length), SCHEMA_SQL), bucket))
+    pieces = data.join(of_texts(found), ["doc", "twin"]).select("doc", "twin", "data", "runs").mapInArrow(_pieces(length), PIECES_SQL)
+    repeats = stash.save(by_bucket(pieces).mapInArrow(_buckets(length, block), SPANS_SQL))
+    removed = spans(found).unionByName(repeats).groupBy("doc", "twin").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    joined = keyed.join(removed, ["doc", "twin"], "left").select("row", "data", "spans")
+    return joined.mapInArrow(_cut, with_row(joined, "n_bytes long, n_removed long, n_spans long, kept binary"))
