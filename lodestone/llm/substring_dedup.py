@@ -1,17 +1,20 @@
 """Substring dedup over word windows by super-k-mer partitioning.
 
 Consecutive windows that share a minimiser travel as one packed string to the minimiser's bucket; there, sorting
-counts windows exactly. A window that starts anywhere else as well loses its words, wherever it stands.
-
-Defined cases: a null or blank text has no words; a text shorter than one window keeps all; a row with a null id is a
-document like any other; rows that repeat an id, with or without the text, are further documents, so that a repeated
-row loses its windows; an empty table gives an empty result; other columns pass through inside ``row``, whatever their
-names.
+counts windows exactly. A window that starts anywhere else as well loses its words, wherever it stands. Strings whose
+minimiser no other string has cannot hold a repeat and stay where they are (see runs.py). A bucket of more than BUCKET
+strings is dealt out again, window by window, and those are sorted. Windows are compared word by word everywhere.
+
+Defined cases: a null or blank text has no words; a text shorter than one window keeps all; a very long text is cut into
+stretches that overlap by a window less one word while its strings are made; a row with a null id is a document like any
+other; rows that repeat an id, with or without the text, are further documents, so that a repeated row loses its windows;
+documents are told apart by their id and a 64-bit hash of the text, those without an id by two such hashes; an empty
+table gives an empty result; other columns pass through inside ``row``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -20,144 +23,156 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, merge_spans, mix64, partitions, slices, sliding_argmin, utf8
+from .common import Stash, mix64, packed, quoted, slices, sliding_argmin, utf8, with_row
+from .runs import HOT_WAITING, PIECES, PIECES_SQL, SCHEMA_SQL, SPANS, SPANS_SQL, WAITING, HotWindows, Sums, Waiting, by_bucket, merged, of_texts, record, shared, spans, starts, unpack
 
 #: Words in a minimiser. Longer ones are rarer, shorter ones make longer super-k-mers.
 GRAM = 3
-#: Rows of one bucket that are held in memory; a larger bucket counts its windows by 128-bit digests instead.
+#: Strings of one bucket that are counted in one task; the windows of larger ones are dealt out again, each by itself.
 BUCKET = 4096
+#: Bytes of a text whose words are cut at a time.
+STRETCH = 1 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
+
 
-_STRINGS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("packed", pa.binary())])
-_MARKS = pa.schema([("doc", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("digest", pa.binary())])
+def _stretches(text: bytes, window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first word, words); every window is in one of them."""
+    if len(text) <= STRETCH:
+        yield 0, text.split()
+        return
+    at, place, words = 0, 0, []
+    while at < len(text):
+        cut = _BLANK.search(text, at + STRETCH)
+        end = cut.start() if cut else len(text)
+        words += text[at:end].split()
+        at = end
+        yield place, words
+        left = max(0, len(words) - window + 1)
+        place, words = place + left, words[left:]
 
 
 def _super_kmers(window: int):
     gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            docs, hashes, words, owner = batch.column(0).to_pylist(), [], [], []
-            for doc, text in zip(docs, batch.column(1).to_pylist(), strict=True):
-                own = text.split()
-                if len(own) >= window:
-                    hashes += map(crc32, own)
-                    owner.append((doc, len(words), len(own)))
-                    words += own
-            if not words:
-                continue
-            h = np.array(hashes, np.uint64)
+        sums, waiting = Sums(), Waiting(window, True, lambda words, s, n: words[0][s - words[1] : s - words[1] + n + window - 1])
+        held: list[tuple[int, int, list[bytes]]] = []
+        words: list[bytes] = []
+
+        def close(docs: np.ndarray, twins: np.ndarray) -> None:
+            h = np.fromiter(map(crc32, words), np.uint64, len(words))
             n = len(h) - gram + 1
             value = h[:n].copy()
             for i in range(1, gram):
                 value = value * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
             value = mix64(value)
             at = sliding_argmin(value, window - gram + 1)
-            starts, doc_of = [], []
-            for doc, base, count in owner:  # windows inside one document; a new run where the minimiser moves
-                own = at[base : base + count - window + 1]
-                first = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
-                last = np.r_[first[1:], len(own)] - 1
-                starts.append(np.stack([first, last, np.full(len(first), base)], 1))
-                doc_of += [doc] * len(first)
-            runs = np.concatenate(starts)
-            packed = [b" ".join(words[base + a : base + b + window]) for a, b, base in runs.tolist()]
-            keys = value[at[runs[:, 0] + runs[:, 2]]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(doc_of, pa.int64()), pa.array(runs[:, 0].astype(np.int32)), pa.array(packed, pa.binary())], schema=_STRINGS)
+            base, found = 0, []
+            for k, (i, place, own) in enumerate(held):  # windows inside one document; a new run where the minimiser moves
+                first, count = starts(at[base : base + len(own) - window + 1])
+                found.append(np.stack([np.full(len(first), k), np.full(len(first), i), np.full(len(first), place - base), base + first, count]))
+                base += len(own)
+            owner, doc, shift, begin, count = np.concatenate(found, 1)
+            code = sums.hashes(h, begin, begin + count + window - 1)
+            waiting.add([(own, place) for _, place, own in held], value[at[begin]].view(np.int64), code, owner, docs[doc], twins[doc], begin + shift, count)
+            held.clear()
+            words.clear()
+
+        for batch in slices(batches, 2, STRETCH):
+            docs, twins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for place, own in _stretches(text, window):
+                    if len(own) >= window:
+                        held.append((i, place, own))
+                        words += own
+                    if len(words) > STRETCH // 4:
+                        close(docs, twins)
+            if held:
+                close(docs, twins)
+            if waiting.size > WAITING // 2:
+                yield waiting.batch()
+        yield waiting.batch()
 
     return run
 
 
-class _Marks:
-    """Rows of _MARKS, yielded in batches."""
+def _strings(window: int):
+    """doc, twin, data, runs -> the packed string of each run; of a hot one, of each of its windows."""
 
-    def __init__(self):
-        self.rows: list[tuple] = []
-
-    def spans(self, doc: int, at: int, flags: list[bool], window: int) -> None:
-        j = 0
-        while j < len(flags):
-            if flags[j]:
-                k = j
-                while k + 1 < len(flags) and flags[k + 1]:
-                    k += 1
-                self.rows.append((doc, at + j, at + k + window, None))
-                j = k
-            j += 1
-
-    def windows(self, doc: int, at: int, words: list[bytes], window: int) -> None:
-        for j in range(len(words) - window + 1):
-            self.rows.append((doc, at + j, at + j + window, hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_windows = HotWindows(window, True)
+        for batch in slices(batches, 2, STRETCH):
+            docs, twins = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows, last, words = [], -1, []
+            texts = batch.column(2)
+            for i, key, s, n, hot in zip(*(x.tolist() for x in unpack(batch.column(3))), strict=True):
+                if i != last:
+                    last, words = i, texts[i].as_py().split()
+                if hot:
+                    for j in range(s, s + n):
+                        hot_windows.add(docs[i], twins[i], j, b" ".join(words[j : j + window]))
+                    if len(hot_windows.first) + len(hot_windows.done) > HOT_WAITING // 4:
+                        rows += hot_windows.rows()
+                else:
+                    rows.append((False, key, docs[i], twins[i], s, b" ".join(words[s : s + n + window - 1])))
+            yield record(rows, PIECES)
+        yield record(hot_windows.rows(), PIECES)
 
-    def batch(self) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MARKS, strict=True)], schema=_MARKS)
+    return run
 
 
-def _count(group: list[tuple], window: int, marks: _Marks) -> None:
-    """group: (doc, at, packed) of one bucket, equal strings side by side."""
+def _count(group: list[list], window: int, rows: list[tuple]) -> None:
+    """group: (key, doc, twin, at, packed) of one bucket, equal strings side by side."""
     if len(group) < 2:
         return
     found, texts = [], []
-    for r, (_, _, packed) in enumerate(group):
-        if r and packed == group[r - 1][2]:
+    for r, (*_, packed) in enumerate(group):
+        if r and packed == group[r - 1][4]:
             texts[-1][1].append(r)
         else:
             texts.append((packed.split(b" "), [r]))
-    for t, (words, _) in enumerate(texts):
-        found += [(b" ".join(words[j : j + window]), t, j) for j in range(len(words) - window + 1)]
-    flags = [[len(rows) > 1] * (len(words) - window + 1) for words, rows in texts]
+    flags = [[len(own) > 1] * (len(words) - window + 1) for words, own in texts]
     if len(texts) > 1:
+        for t, (words, _) in enumerate(texts):
+            found += [(b" ".join(words[j : j + window]), t, j) for j in range(len(words) - window + 1)]
         found.sort()
         for a, b in zip(found, found[1:], strict=False):
             if a[0] == b[0]:
                 flags[a[1]][a[2]] = flags[b[1]][b[2]] = True
-    for (_, rows), own in zip(texts, flags, strict=True):
-        if any(own):
-            for r in rows:
-                marks.spans(*group[r][:2], own, window)
-
-
-class _Hot:
-    """A bucket too large to hold. Equal strings come side by side: all windows of a repeated one repeat, and only the
-    first of them sends its windows on to be counted with those of other strings."""
-
-    def __init__(self, window: int, marks: _Marks):
-        self.window, self.marks, self.first, self.marked = window, marks, None, False
-
-    def add(self, doc: int, at: int, packed: bytes) -> None:
-        if self.first and self.first[2] == packed:
-            every = [True] * (packed.count(b" ") + 2 - self.window)
-            if not self.marked:
-                self.marks.spans(*self.first[:2], every, self.window)
-            self.marks.spans(doc, at, every, self.window)
-            self.marked = True
-        else:
-            self.first, self.marked = (doc, at, packed), False
-            self.marks.windows(doc, at, packed.split(b" "), self.window)
+    for (_, own), repeated in zip(texts, flags, strict=True):
+        if any(repeated):
+            edge = np.flatnonzero(np.diff(np.r_[0, repeated, 0])).tolist()
+            for r in own:
+                _, doc, twin, at, _ = group[r]
+                rows += [(doc, twin, at + a, at + b - 1 + window) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _buckets(window: int, bucket: int):
+def _buckets(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, group, key, hot = _Marks(), [], None, None
+        rows: list[tuple] = []
+        group: list[list] = []
+        key = None
         for batch in batches:
-            for k, doc, at, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    _count(group, window, marks)
-                    group, key, hot = [], k, None
-                if hot:
-                    hot.add(doc, at, packed)
-                else:
-                    group.append((doc, at, packed))
-                    if len(group) > bucket:
-                        hot = _Hot(window, marks)
-                        for row in group:
-                            hot.add(*row)
+            for hot, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot is None:  # a finished span
+                    rows.append((row[1], row[2], row[3], row[3] + window))
+                elif hot:  # a window equals the one before it or none before it
+                    if key == (hot, row[0], row[4]):
+                        rows += [(r[1], r[2], r[3], r[3] + window) for r in [*group, row]]
                         group = []
-                if len(marks.rows) > 20_000:
-                    yield marks.batch()
-        _count(group, window, marks)
-        yield marks.batch()
+                    else:
+                        _count(group if key and not key[0] else [], window, rows)
+                        key, group = (hot, row[0], row[4]), [row]
+                else:
+                    if key != (hot, row[0]):
+                        _count(group, window, rows)
+                        key, group = (hot, row[0]), []
+                    group.append(row)
+                if len(rows) > 20_000:
+                    yield record(rows, SPANS)
+                    rows.clear()
+        _count(group if key and not key[0] else [], window, rows)
+        yield record(rows, SPANS)
 
     return run
 
@@ -166,12 +181,11 @@ def _cut(rejoin: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 23):
             count, removed, texts = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), merged(batch.column(2)), strict=True):
                 words = kept = text.split()
                 if spans:
-                    a = np.array([(x["s"], x["e"]) for x in spans])
                     kept, last = [], 0
-                    for s, e in zip(*(x.tolist() for x in merge_spans(a[:, 0], a[:, 1])), strict=True):
+                    for s, e in zip(*spans, strict=True):
                         kept += words[last:s]
                         last = e
                     kept += words[last:]
@@ -184,26 +198,21 @@ def _cut(rejoin: bool):
 
 
 def repeated_spans(docs: DataFrame, window: int, stash: Stash, bucket: int = BUCKET) -> DataFrame:
-    """docs: doc long, data binary. Returns doc, s, e: word spans whose windows all repeat; spans may overlap."""
-    strings = docs.mapInArrow(_super_kmers(window), "key long, doc long, at int, packed binary")
-    by_key = strings.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "packed")
-    marks = stash.save(by_key.mapInArrow(_buckets(window, bucket), "doc long, s int, e int, digest binary"))
-    hot = marks.where("digest is not null")
-    twice = hot.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return marks.where("digest is null").select("doc", "s", "e").unionByName(hot.join(twice, "digest").select("doc", "s", "e"))
+    """docs: doc long, twin long, data binary. Returns doc, twin, s, e: word spans whose windows all repeat; spans may overlap."""
+    found = stash.save(shared(docs.mapInArrow(_super_kmers(window), SCHEMA_SQL), bucket))
+    strings = docs.join(of_texts(found), ["doc", "twin"]).select("doc", "twin", "data", "runs").mapInArrow(_strings(window), PIECES_SQL)
+    return spans(found).unionByName(stash.save(by_bucket(strings).mapInArrow(_buckets(window), SPANS_SQL)))
 
 
 def remove_repeated_windows(docs: DataFrame, stash: Stash, window: int = 35, doc_id: str = "doc_id", text: str = "text", rejoin: bool = True, bucket: int = BUCKET) -> DataFrame:
     """Returns row (a struct of all columns but the text), n_words, n_removed, kept (UTF-8 of the kept words joined by one space).
 
-    Without ``rejoin`` a text that loses nothing is kept as it stands. Documents are told apart by a 64-bit hash of id
-    and text, so that rows that repeat both share their spans.
+    Without ``rejoin`` a text that loses nothing is kept as it stands.
     """
-    key = F.xxhash64(doc_id, text)
-    spans = repeated_spans(docs.select(key.alias("doc"), utf8(text).alias("data")), window, stash, bucket)
-    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    row = F.struct(*[c for c in docs.columns if c != text])
-    keyed = docs.select(key.alias("doc"), row.alias("row"), utf8(text).alias("data"))
-    joined = keyed.join(spans, "doc", "left").select("row", "data", "spans")
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept binary"
-    return joined.mapInArrow(_cut(rejoin), schema)
+    twin = F.xxhash64(quoted(text))
+    doc = F.coalesce(F.col(quoted(doc_id)).cast("long"), F.xxhash64(F.lit("nameless"), quoted(text)))
+    keyed = docs.select(doc.alias("doc"), twin.alias("twin"), packed([c for c in docs.columns if c != text]), utf8(text).alias("data"))
+    removed = repeated_spans(keyed.select("doc", "twin", "data"), window, stash, bucket)
+    removed = removed.groupBy("doc", "twin").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    joined = keyed.join(removed, ["doc", "twin"], "left").select("row", "data", "spans")
+    return joined.mapInArrow(_cut(rejoin), with_row(joined, "n_words long, n_removed long, kept binary"))
