@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, forest, mix64, partitions, slices, utf8
+from .common import Stash, forest, mix64, packed, partitions, quoted, slices, utf8, with_row
 from .components import components
 
 #: Widths of the bit blocks; any RADIUS differing bits leave at least two of the five untouched.
@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text") -> DataFram
 
     A bit is set if it is set in more than half of the hashes (XXH64, seed 42) of the lower-cased word shingles.
     """
-    data = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), utf8(text).alias("data"))
-    return data.mapInArrow(_fingerprints(size), f"row {data.schema['row'].dataType.simpleString()}, print long")
+    data = docs.select(packed([c for c in docs.columns if c != text]), utf8(text).alias("data"))
+    return data.mapInArrow(_fingerprints(size), with_row(data, "print long"))
 
 
 def _pivots() -> tuple[list[np.ndarray], np.ndarray]:
@@ -191,7 +191,7 @@ def links(prints: DataFrame, stash: Stash, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, stash: Stash, size: int = 3, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """Returns row (all columns but the text), print (long) and component_id (least id of the rows reachable by links)."""
     prints = stash.save(fingerprints(docs, size, text))
-    groups = stash.save(prints.groupBy("print").agg(F.min(f"row.{doc_id}").cast("long").alias("least")))
+    groups = stash.save(prints.groupBy("print").agg(F.min(f"row.{quoted(doc_id)}").cast("long").alias("least")))
     found = components(links(groups.select("print", F.col("print").alias("rep")), stash, bucket), stash)
     member = stash.save(groups.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component")))
     ids = member.groupBy("component").agg(F.min("least").alias("component_id"))

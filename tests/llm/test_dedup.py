@@ -86,6 +86,41 @@ def test_suffixes(spark, length, bucket, block):
     assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out} == brute_bytes(rows, length)
 
 
+def crowd(n):
+    """n texts around one passage: most of its buckets hold n different pieces."""
+    passage = " ".join(f"word{i * i % 89}" for i in range(60))
+    return [(i, f"{i} lead{i * 7919 % 10007} " * 3 + passage + f" tail{i} {i * i} " * 3) for i in range(n)]
+
+
+def test_suffixes_of_a_crowded_bucket(spark):
+    rows = crowd(5000)
+    out = suffix_dedup.remove_repeats(frame(spark, rows), Stash(spark)).collect()
+    assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out} == brute_bytes(rows, 100)
+
+
+def test_windows_of_a_crowded_bucket(spark):
+    rows = crowd(5000)
+    out = substring_dedup.remove_repeated_windows(frame(spark, rows), Stash(spark)).collect()
+    assert {r.row.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in out} == brute_windows(rows, 35)
+
+
+def test_very_long_texts_are_cut_into_stretches(spark, monkeypatch):
+    rows = [(0, "lead " + " ".join(f"w{i % 977}" for i in range(6000))), (1, " ".join(f"w{i % 977}" for i in range(300, 500))), (2, "alone")]
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 1000)
+    monkeypatch.setattr(substring_dedup, "STRETCH", 1000)
+    out = suffix_dedup.remove_repeats(frame(spark, rows), Stash(spark)).collect()
+    assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out} == brute_bytes(rows, 100)
+    out = substring_dedup.remove_repeated_windows(frame(spark, rows), Stash(spark)).collect()
+    assert {r.row.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in out} == brute_windows(rows, 35)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "x", 2, 3, 4)], "doc_id long, text string, `my col` int, `a.b` int, `c:d``e` int")
+    for out in (suffix_dedup.remove_repeats(df, Stash(spark)), substring_dedup.remove_repeated_windows(df, Stash(spark)), simhash.near_duplicates(df, Stash(spark))):
+        row = out.first().row
+        assert (row["my col"], row["a.b"], row["c:d`e"]) == (2, 3, 4)
+
+
 def test_suffixes_repeated_rows_and_null_ids(spark):
     text = "".join(chr(97 + (i * i) % 23) for i in range(90)) + "0123456789" * 3
     rows = [(1, text), (1, text), (None, text), (0, "z")]
