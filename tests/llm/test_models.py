@@ -383,10 +383,53 @@ def test_nearest_recall_and_scores(spark, sf_dir):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     assert sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+    rows = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
     for q in got:
         assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
-        exact = dict(nearest_brute([(r, v, None) for r, v, _ in [(q, None, None)] if v], 1) or {})
-        assert exact == {}
+        assert all(x == pytest.approx(math.fsum(rows[q] * rows[j]), abs=1e-12) for j, x in got[q])
+    assert sorted((r.query_id, r["rank"]) for r in out) == [(q, n) for q in sorted(got) for n in range(1, 21)]
+
+
+def clustered(n, dim=32, seed=5, spread=0.3):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 40, dim))
+    x = centres[np.arange(n) % len(centres)] + spread * rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [4000, 16000])
+def test_products_of_candidates_only(n):
+    x = clustered(n)
+    q = x[::20][:100]
+    seen = lsh.Tables(x).enough(q, 21)
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.take_along_axis(seen, best, 1).mean() >= 0.95
+    assert seen.mean() < (0.55 if n == 4000 else 0.4)
+
+
+def test_nearest_with_skewed_norms(spark):
+    """One vector is far longer than all others, and norms are lognormal."""
+    x = clustered(1500, spread=0.8) * np.random.default_rng(1).lognormal(0, 1, (1500, 1))
+    x[7] *= 1000
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x.tolist())])
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], float)
+    got = {}
+    for r in lsh.nearest(df, df.where("vec_id % 20 = 0"), Stash(spark)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 75 and hits / (20 * 75) >= 0.95
+
+
+def test_nearest_of_a_repeated_id(spark):
+    """Rows that share a query's id are no candidates, and each of its vectors is a query of its own."""
+    rows = [(20, [1.0, float(i)], 0) for i in range(300)] + [(1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0)]
+    df = vectors(spark, rows)
+    out = lsh.nearest(df, df.where("vec_id = 20 and embedding[1] in (0, 7)"), Stash(spark)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(20, 1, 1, 7.0), (20, 1, 2, 1.0), (20, 2, 1, 0.0), (20, 2, 2, 1.0)]
 
 
 def test_nearest_odd_cases(spark, monkeypatch):
