@@ -357,6 +357,24 @@ def test_pivot_index(spark, bucket):
     assert {k: (out[k].component_id, out[k].kept) for k in root} == {k: (find(k), find(k) == k) for k in root}
 
 
+def test_pivot_index_copies_by_count(spark):
+    """100000 copies of one vector and 40000 of a near one: no pair of copies is met."""
+    v, near = [1.0, 2.0, 3.0, -1.0], [1.0, 2.0, 3.01, -1.0]
+    df = spark.range(140_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 100_000, F.array(*map(F.lit, v))).otherwise(F.array(*map(F.lit, near))).alias("embedding"), F.lit(1).alias("label"))
+    out = pivot_index.near_duplicates(df, Stash(spark))
+    assert out.groupBy("n_links", "component_id").count().collect() == [(139_999, 0, 140_000)]
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(0)
+    x = pivot_index.unit(rng.standard_normal((4000, 64)))
+    y = pivot_index.unit(x + 0.0251 * rng.standard_normal(x.shape))
+    sketch = lambda u: np.rint(u @ pivot_index.directions(64) * pivot_index.STEPS)
+    gap = ((sketch(x) - sketch(y)) ** 2).sum(1)
+    near = (x * y).sum(1) >= 0.98
+    assert near.sum() > 500 and gap[near].max() <= (pivot_index.STEPS * 0.2 + 4) ** 2
+
+
 def test_pivot_index_odd_cases(spark):
     assert pivot_index.near_duplicates(vectors(spark, []), Stash(spark)).collect() == []
     v = [1.0, 2.0, 3.0]
