@@ -1,22 +1,27 @@
 """LM scoring with Brown class-based bigrams.
 
 P(word | words before) = P(class | class before) * P(word | class). Exchange clustering assigns words to classes: every
-word in turn moves to the class that raises the likelihood of the training classes' bigrams most. The words are
-distributed, the classes are not: one pass over the corpus counts the bigrams of items, where an item is one of the ITEMS
-most frequent words or, for all other words, one of BUCKETS groups by word ending. From that table each sweep aggregates
-every item's class contexts, which are small whatever the corpus, and the exchanges of the sweep are decided on the
-driver. The CORE most frequent items go first, over their own table of bigrams, so that their contexts follow every
-move; later sweeps move the others, then halves of all items, so that moves rest on contexts that hold.
+word moves to the class that raises the likelihood of the training classes' bigrams most. All words of the training texts
+are clustered, in two steps. First the classes take shape: one pass over the corpus counts the bigrams of items, where an
+item is one of the ITEMS most frequent words or, for all other words, one of BUCKETS groups by word ending. From that
+table each sweep aggregates every item's class contexts, which are small whatever the corpus, and the exchanges of the
+sweep are decided on the driver. The CORE most frequent items go first, over their own table of bigrams, so that their
+contexts follow every move; later sweeps move the others, then halves of all items, so that moves rest on contexts that
+hold. Then every other word leaves its group: its own contexts, counted over the whole corpus and dealt out by word, move
+it to the class of the highest likelihood against the table of classes. So what is gathered grows with the vocabulary, and
+nothing of it but the TOP words' classes comes to the driver. A pair of two such words counts half with the group of the
+first, half with that of the second.
 
 Smoothing: class transitions back off to class frequencies (BACKOFF pseudo counts); a class emits a word of training
 count c with (c + 0.5) / (class tokens + 0.5 * (class words + 1)), where the last half count is for words not seen in
-training that belong to the class by their ending. For every class before, probabilities of all known words and of each
-class's unknown word add up to one.
+training: those belong to the class that holds most training words of their ending's group. For every class before,
+probabilities of all known words and of each class's unknown word add up to one.
 
 Every text is lower-cased (A-Z), cut at ASCII white space and closed by an end token, which also stands before the first.
 
 Defined cases: a null or blank text is the end token alone; without training texts all counts are zero and every word is
-unknown; a null id trains; rows that repeat an id are further documents; an empty table gives an empty result; other
+unknown; a null id trains; rows that repeat an id are further documents; very long texts and words count like others (a
+word longer than LONGEST bytes is looked up by a join, however frequent); an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -25,16 +30,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, broadcast, received, slices, utf8
+from .common import Stash, broadcast, partitions, quoted, received, slices, utf8, with_row
 
-#: Classes; words that are items of their own; groups of the other words by ending; sweeps of the exchange.
+#: Classes; words that are items of their own while classes take shape; groups of the other words by ending; sweeps.
 CLASSES, ITEMS, BUCKETS, SWEEPS = 48, 4096, 256, 5
 #: Most frequent items whose exchange runs over their full table of bigrams, on the driver, and its rounds.
 CORE, ROUNDS = 768, 6
@@ -92,7 +99,7 @@ def _bigrams(known):
         for batch in slices(batches, 0):
             for text in batch.column(0).to_pylist():
                 words = tokens(text)
-                own = np.fromiter((items.get(w, -1) for w in words), np.int64, len(words))
+                own = np.fromiter(map(items.get, words, repeat(-1)), np.int64, len(words))
                 for i in np.flatnonzero(own < 0).tolist():
                     own[i] = bucket_of(words[i])
                 held.append(np.r_[own[-1], own[:-1]] * size + own)  # the end also stands before the first
@@ -185,6 +192,93 @@ def _contexts(bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+_CONTEXTS = pa.schema([("word", pa.binary()), ("at", pa.int32()), ("n", pa.int64())])
+#: A context is the classes before and after; those of words that are no items, so far of their group, are CLASSES higher.
+_SIDES = 2 * CLASSES
+
+
+def _word_contexts(sent):
+    """Contexts of all words but the items. Those of the TOP words are counted before they leave a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, classes = received(sent)
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def send(rest: list[bytes], at: list[np.ndarray]) -> pa.RecordBatch:
+            places = np.concatenate([np.empty(0, np.int64), *at])
+            n = np.ones(len(places), np.int64)
+            if waiting > 2 * HELD or not rest:
+                code, count = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+                rest = rest + [words[i] for i in (code // _SIDES**2).tolist()]
+                places, n = np.r_[places, code % _SIDES**2], np.r_[n, count]
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rest, pa.binary()), pa.array(places.astype(np.int32)), pa.array(n)], schema=_CONTEXTS)
+
+        for batch in slices(batches, 0):
+            rest, at = [], []
+            for text in batch.column(0).to_pylist():
+                own = tokens(text)
+                number = np.fromiter(map(ids.get, own, repeat(-1)), np.int64, len(own))
+                loose = np.flatnonzero((number < 0) | (number >= ITEMS))
+                side = classes[np.minimum(number, ITEMS - 1)]
+                side[loose] = [classes[bucket_of(own[i])] + CLASSES for i in loose.tolist()]
+                place = (np.r_[side[-1], side[:-1]] * _SIDES + np.r_[side[1:], side[0]])[loose]
+                top = number[loose] >= 0
+                held.append(number[loose[top]] * _SIDES**2 + place[top])
+                waiting += int(top.sum())
+                rest += [own[i] for i in loose[~top].tolist()]
+                at.append(place[~top])
+            yield send(rest, at)
+            waiting = waiting if held else 0
+        waiting = 0
+        yield send([], [])
+
+    return run
+
+
+_LEXICON = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32()), ("x", pa.float64())])
+_LEXICON_SQL = "word binary, n long, class int, x double"
+
+
+def _assign(sent):
+    """Contexts sorted by word -> each word's count and class; at the end, without word, what the task's words add to the table of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, tokens_of = received(sent)
+        before = np.tile(transition - np.log(tokens_of)[None, :], (2, 1))  # by side before and class
+        after = np.tile(transition.T, (2, 1))  # by side after and class
+        table = np.zeros((CLASSES, CLASSES))
+        share = np.repeat([1.0, 0.5], CLASSES)
+        rest = None
+        for batch in chain(batches, [None]):
+            now = rest if batch is None else pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            if now is None or not now.num_rows:
+                continue
+            now = now.combine_chunks()
+            word, n = now.column(0).chunk(0), now.column(2).to_numpy()
+            first = np.flatnonzero(np.r_[True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)])
+            if batch is not None:  # the last word may go on; its contexts so far wait as few rows
+                rest = now.slice(int(first[-1])).group_by(["word", "at"]).aggregate([("n", "sum")]).rename_columns(["word", "at", "n"]).cast(_CONTEXTS)
+                end, first = int(first[-1]), first[:-1]
+                if not end:
+                    continue
+            else:
+                end = len(word)
+            n, at = n[:end], now.column(1).to_numpy()[:end]
+            b, a = at // _SIDES, at % _SIDES
+            value = np.add.reduceat(n[:, None] * (before[b] + after[a]), first, axis=0)
+            own = value.argmax(1)
+            c = np.repeat(own, np.diff(np.r_[first, end]))
+            np.add.at(table, (b % CLASSES, c), n * share[b])
+            np.add.at(table, (c, a % CLASSES), n * share[a])
+            yield pa.RecordBatch.from_arrays([word.take(pa.array(first)), pa.array(np.add.reduceat(n, first)), pa.array(own.astype(np.int32)), pa.nulls(len(first), pa.float64())], schema=_LEXICON)
+        code = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.nulls(len(code), pa.int64()), pa.array(code.astype(np.int32)), pa.array(table.ravel()[code])], schema=_LEXICON)
+
+    return run
+
+
 @dataclass
 class Model:
     counts: dict[bytes, tuple[int, int]]  # of the TOP words: training count and class
@@ -195,16 +289,13 @@ class Model:
     words: int
 
 
-def train(docs: DataFrame, stash: Stash) -> tuple[Model, DataFrame]:
-    """docs: data binary. Returns the model and all word counts (word, n)."""
-    spark = docs.sparkSession
-    counts = stash.save(word_counts(docs))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(TOP).toArrow()
-    words, often = [bytes(w) for w in top.column(0).to_pylist()], top.column(1).to_pylist()
-    items = {w: i for i, w in enumerate(words[:ITEMS])}
-    sent = broadcast(spark, items)
-    bigrams = stash.save(docs.select("data").mapInArrow(_bigrams(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+def _smoothed(table: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    prior = (size + 1) / (n + CLASSES)
+    return (table + BACKOFF * prior) / (table.sum(1, keepdims=True) + BACKOFF)
+
+
+def _items(bigrams: DataFrame) -> np.ndarray:
+    """Classes of the items and groups."""
     size = ITEMS + BUCKETS
     pair = bigrams.select(F.floor(F.col("code") / size).cast("int").alias("i"), (F.col("code") % size).cast("int").alias("j"), "n")
     core = pair.where((F.col("i") < CORE) & (F.col("j") < CORE)).toArrow()  # CORE squared rows at most
@@ -217,87 +308,142 @@ def train(docs: DataFrame, stash: Stash) -> tuple[Model, DataFrame]:
         table = np.zeros((CLASSES, CLASSES))
         np.add.at(table, now, right)
         if (score := likelihood(table)) > best_score:
-            best, best_score, best_table = now, score, table
+            best, best_score = now, score
         if sweep < SWEEPS:
             item = np.arange(size)  # first all but the core, then halves
             now = exchange(left, right, now, item[item >= CORE] if not sweep else item[(item * 40503 >> 7) % 2 == sweep % 2])
+    return best
+
+
+def _table(bigrams: DataFrame, classes: np.ndarray, items: bool) -> np.ndarray:
+    """The class bigrams of items alone, or with the groups of other words."""
+    size, table = ITEMS + BUCKETS, np.zeros((CLASSES, CLASSES))
+    of = F.from_json(F.lit(str(classes.tolist())), "array<int>")
+    pair = bigrams.select(F.floor(F.col("code") / size).cast("int").alias("i"), (F.col("code") % size).cast("int").alias("j"), "n")
+    pair = pair.where((F.col("i") < ITEMS) & (F.col("j") < ITEMS)) if items else pair
+    for i, j, n in pair.groupBy(F.element_at(of, F.col("i") + 1).alias("ci"), F.element_at(of, F.col("j") + 1).alias("cj")).agg(F.sum("n")).collect():
+        table[i, j] = n
+    return table
+
+
+def train(docs: DataFrame, stash: Stash) -> tuple[Model, DataFrame]:
+    """docs: data binary. Returns the model and all words with count and class (word, n, class)."""
+    spark = docs.sparkSession
+    counts = stash.save(word_counts(docs))
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(TOP).toArrow()
+    stash.drop(counts)
+    words, often = [bytes(w) for w in top.column(0).to_pylist()], top.column(1).to_pylist()
+    sent = broadcast(spark, {w: i for i, w in enumerate(words[:ITEMS])})
+    bigrams = stash.save(docs.select("data").mapInArrow(_bigrams(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    classes = _items(bigrams)
+    shape = _table(bigrams, classes, items=False)
+    sent = broadcast(spark, ({w: i for i, w in enumerate(words)}, words, classes))
+    loose = docs.select("data").mapInArrow(_word_contexts(sent), "word binary, at int, n long").repartition(partitions(spark), "word").sortWithinPartitions("word")
+    sent = broadcast(spark, (np.log(_smoothed(shape, shape.sum(0), n)), shape.sum(0) + 1))
+    found = stash.save(loose.mapInArrow(_assign(sent), _LEXICON_SQL))
+    table = _table(bigrams, classes, items=True)
+    for code, x in found.where("word is null").groupBy("class").agg(F.sum("x")).collect():
+        table.ravel()[code] += x
     stash.drop(bigrams)
-    return _model(counts, words, often, best, best_table, n, v), counts
-
-
-def _model(counts: DataFrame, words: list[bytes], often: list[int], classes: np.ndarray, table: np.ndarray, n: int, v: int) -> Model:
-    # Tokens and words of each class: all words counted by ending, with the items taken out again.
-    rows = counts.groupBy(F.pmod(F.crc32(F.expr(f"substring(word, greatest(length(word) - {ENDING - 1}, 1), {ENDING})")), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.sum("n"), F.count("*")).collect()
-    size = np.zeros(CLASSES)
-    types = np.zeros(CLASSES)
-    bucket_tokens, bucket_types = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, tokens_, types_ in rows:
-        bucket_tokens[b], bucket_types[b] = tokens_, types_
-    for i, (w, c) in enumerate(zip(words[:ITEMS], often, strict=False)):
-        b = bucket_of(w) - ITEMS
-        bucket_tokens[b] -= c
-        bucket_types[b] -= 1
-        size[classes[i]] += c
-        types[classes[i]] += 1
-    np.add.at(size, classes[ITEMS:], bucket_tokens)
-    np.add.at(types, classes[ITEMS:], bucket_types)
-    prior = (size + 1) / (n + CLASSES)
-    transition = (table + BACKOFF * prior) / (table.sum(1, keepdims=True) + BACKOFF)
-    return Model(
-        {w: (c, int(classes[i] if i < ITEMS else classes[bucket_of(w)])) for i, (w, c) in enumerate(zip(words, often, strict=True))},
-        classes[ITEMS:],
-        np.log10(transition),
-        np.log10(size + 0.5 * (types + 1)),
-        n,
-        v,
-    )
+    items = spark.createDataFrame([(w, c, int(k)) for w, c, k in zip(words[:ITEMS], often, classes, strict=False)], "word binary, n long, class int")
+    lexicon = found.where("word is not null").select("word", "n", "class").unionByName(items)
+    return _model(lexicon, words, classes, table, n, v), lexicon
+
+
+def _ending(word: str) -> F.Column:
+    return F.pmod(F.crc32(F.expr(f"substring({word}, greatest(length({word}) - {ENDING - 1}, 1), {ENDING})")), F.lit(BUCKETS)).cast("int")
+
+
+def _model(lexicon: DataFrame, words: list[bytes], classes: np.ndarray, table: np.ndarray, n: int, v: int) -> Model:
+    size, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    members = np.zeros((BUCKETS, CLASSES))
+    for b, c, tokens_, types_ in lexicon.groupBy(_ending("word"), "class").agg(F.sum("n"), F.count("*")).collect():
+        size[c] += tokens_
+        types[c] += types_
+        members[b, c] = types_
+    top = lexicon.join(F.broadcast(lexicon.sparkSession.createDataFrame([(w,) for w in words], "word binary")), "word").toArrow()
+    counts = {bytes(w): (c, k) for w, c, k in zip(*(top.column(x).to_pylist() for x in ("word", "n", "class")), strict=True)}
+    # A group without words keeps the class that it had among the items.
+    bucket_class = np.where(members.any(1), members.argmax(1), classes[ITEMS:])
+    return Model(counts, bucket_class, np.log10(_smoothed(table, size, n)), np.log10(size + 0.5 * (types + 1)), n, v)
 
 
-_SCORED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counts", pa.float64()), ("classes", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())])))])
+_SCORED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counts", pa.float64()), ("classes", pa.binary()), ("rare", pa.list_(pa.binary()))])
 
 
-def _score(sent):
+def _look_up(sent):
+    """Counts and classes of the TOP words; of any other the number -1 - k, where it is the text's k-th such word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = received(sent)
-        counts, buckets = model.counts, model.bucket_class
-        end_class = counts[END][1] if END in counts else int(buckets[bucket_of(END) - ITEMS])
-        fixed = model.transition - model.emission[None, :]
+        known: dict[bytes, tuple[int, int]] = received(sent)
+        ids = {w: i for i, w in enumerate(known)}
+        value = np.array([*known.values(), (0, 0)], np.int64)
+        log, class_of = np.log10(value[:, 0] + 0.5), value[:, 1].astype(np.int32)
         for batch in slices(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 words = tokens(text)
-                found = [counts.get(w) for w in words]
-                rare: Counter[bytes] = Counter()
-                for i, x in enumerate(found):
-                    if x is None:
-                        w = words[i]
-                        rare[w] += 1
-                        found[i] = (0, int(buckets[crc32(w[-ENDING:]) % BUCKETS]))
-                n, c = np.array(found, np.int64).T
-                common = n > 0
-                rows.append((len(words), int(common.sum()), float(np.log10(n[common] + 0.5).sum()), float(fixed[np.r_[end_class, c[:-1]], c].sum()), [{"word": w, "tf": k} for w, k in rare.items()]))
+                number = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+                classes, common = class_of[number], number >= 0
+                rare: dict[bytes, int] = {}
+                loose = np.flatnonzero(~common)
+                classes[loose] = [-1 - rare.setdefault(words[i], len(rare)) for i in loose.tolist()]
+                rows.append((len(words), len(words) - len(loose), float(log[number[common]].sum()), classes.tobytes(), list(rare)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(columns, _SCORED, strict=True))], names=["row", *_SCORED.names])
 
     return run
 
 
+def _finish(sent):
+    """row, n_tokens, n_known, counts, classes, found (k, n and class of the rare words) -> the sums of the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, emission = received(sent)
+        fixed = transition - emission[None, :]
+        for batch in slices(batches, 4):
+            size = pc.fill_null(pc.list_value_length(batch.column(5)), 0).to_numpy(zero_copy_only=False)
+            k, n, c = (x.to_numpy(zero_copy_only=False) for x in pc.list_flatten(batch.column(5)).flatten())
+            ends = np.cumsum(size)
+            known, counts = batch.column(2).to_numpy().copy(), batch.column(3).to_numpy().copy()
+            score = np.zeros(len(size))
+            for i, (a, b, data) in enumerate(zip((ends - size).tolist(), ends.tolist(), batch.column(4).to_pylist(), strict=True)):
+                classes = np.frombuffer(data, np.int32)
+                if b > a:
+                    of, often = np.empty(b - a, np.int32), np.empty(b - a, np.int64)
+                    of[k[a:b]], often[k[a:b]] = c[a:b], n[a:b]
+                    loose = np.flatnonzero(classes < 0)
+                    number = -1 - classes[loose]
+                    classes = classes.copy()
+                    classes[loose] = of[number]
+                    often = often[number]
+                    known[i] += int((often > 0).sum())
+                    counts[i] += np.log10(often + 0.5).sum()
+                score[i] = counts[i] + fixed[np.r_[classes[-1], classes[:-1]], classes].sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known), pa.array(counts), pa.array(score)], names=["row", "n_tokens", "n_known", "counts", "score"])
+
+    return run
+
+
 def score(docs: DataFrame, stash: Stash, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Trains on the documents that are not held out and scores all: see op1's columns.
 
     Held out is a document whose crc32 of the id as text, modulo 5, is 1.
     """
-    held = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    model, counts = train(docs.where(~held).select(utf8(text).alias("data")), stash)
-    sent = broadcast(docs.sparkSession, model)
-    row = F.struct(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
+    own = F.col(quoted(doc_id))
+    held = F.coalesce(F.crc32(own.cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    model, lexicon = train(docs.where(~held).select(utf8(text).alias("data")), stash)
+    row = F.struct(own.alias("doc_id"), held.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
     data = docs.select(row.alias("row"), utf8(text).alias("data"))
-    schema = f"row {data.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, counts double, classes double, rare array<struct<word: binary, tf: int>>"
-    found = stash.save(data.mapInArrow(_score(sent), schema)).withColumn("rid", F.col("row.rid"))
-    rare = found.select("rid", F.explode("rare").alias("x")).select("rid", "x.word", "x.tf")
-    joined = rare.join(counts, "word", "left").select("rid", "tf", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = joined.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 0.5)).alias("rare_counts"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).cast("long").alias("rare_known"))
-    out = found.drop("rare").join(sums, "rid", "left")
-    counted = F.col("counts") + F.coalesce("rare_counts", F.lit(0.0))
-    base = counted - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + 0.5 * (model.words + 1))))
-    return out.select("row.doc_id", "row.held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), (counted + F.col("classes")).alias("score"))
+    sent = broadcast(docs.sparkSession, model.counts)
+    found = stash.save(data.mapInArrow(_look_up(sent), with_row(data, "n_tokens long, n_known long, counts double, classes binary, rare array<binary>"))).withColumn("rid", F.col("row.rid"))
+    rare = found.select("rid", F.posexplode("rare").alias("k", "word"))
+    unseen = F.element_at(F.from_json(F.lit(str(model.bucket_class.tolist())), "array<int>"), _ending("word") + 1)
+    joined = rare.join(lexicon, "word", "left").select("rid", F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", unseen).alias("class")).alias("x"))
+    whole = found.drop("rare").join(joined.groupBy("rid").agg(F.collect_list("x").alias("found")), "rid", "left")
+    sent = broadcast(docs.sparkSession, (model.transition, model.emission))
+    done = whole.select("row", "n_tokens", "n_known", "counts", "classes", "found")
+    done = done.mapInArrow(_finish(sent), with_row(done, "n_tokens long, n_known long, counts double, score double"))
+    base = F.col("counts") - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + 0.5 * (model.words + 1))))
+    return done.select("row.doc_id", "row.held_out", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

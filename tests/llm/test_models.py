@@ -252,6 +252,46 @@ def test_language_model_adds_up_to_one(spark):
     assert np.allclose(per_class, 1) and np.allclose((10**model.transition).sum(1), 1)
 
 
+@pytest.mark.parametrize("limits", [{}, {"TOP": 40, "ITEMS": 16, "CORE": 8, "BUCKETS": 8}])
+def test_language_model_score_by_brute_force(spark, monkeypatch, limits):
+    """Every word's probability from the lexicon of all training words, one after the other."""
+    for name, value in limits.items():
+        monkeypatch.setattr(class_lm, name, value)
+    rows = lm_rows()
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
+    data = spark.createDataFrame([((t or "").encode(),) for k, t, _ in rows if not held(k)], "data binary")
+    model, lexicon = class_lm.train(data, Stash(spark))
+    known = {bytes(r.word): (r.n, r["class"]) for r in lexicon.collect()}
+    count = Counter(w for k, t, _ in rows if not held(k) for w in class_lm.tokens((t or "").encode()))
+    assert {w: n for w, (n, _) in known.items()} == count and len(model.counts) == min(class_lm.TOP, len(known))
+    assert all(model.counts[w] == known[w] for w in model.counts)
+    of = lambda w: known[w] if w in known else (0, int(model.bucket_class[zlib.crc32(w[-class_lm.ENDING :]) % class_lm.BUCKETS]))
+
+    def want(text):
+        total, before = 0.0, of(class_lm.END)[1]
+        for w in class_lm.tokens((text or "").encode()):
+            n, c = of(w)
+            total += model.transition[before, c] + math.log10(n + 0.5) - model.emission[c]
+            before = c
+        return total
+
+    out = class_lm.score(docs(spark, rows), Stash(spark)).collect()
+    assert sorted(round(r.score, 5) for r in out) == sorted(round(want(t), 5) for _, t, _ in rows)
+
+
+def test_all_words_are_clustered(spark, monkeypatch):
+    """Words that are no items find the class of the words they stand like."""
+    monkeypatch.setattr(class_lm, "ITEMS", 60)
+    monkeypatch.setattr(class_lm, "CORE", 50)
+    rng = random.Random(5)
+    texts = [" ".join(w + str(int(rng.paretovariate(0.4)) % 400) for w in rng.choice(["n v n", "d n v", "d n v d n"]).split() * 4) for _ in range(1500)]
+    model, lexicon = class_lm.train(spark.createDataFrame([(t.encode(),) for t in texts], "data binary"), Stash(spark))
+    rows = [(bytes(r.word).decode(), r["class"]) for r in lexicon.collect() if bytes(r.word) != class_lm.END]
+    assert len(rows) > 600
+    kind = {c: Counter(w[0] for w, k in rows if k == c).most_common(1)[0][0] for c in {k for _, k in rows}}
+    assert sum(kind[c] == w[0] for w, c in rows) > 0.85 * len(rows)
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(0)
     n, true = 240, rng.integers(0, 4, 240)
