@@ -30,7 +30,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -85,9 +85,37 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("data").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Numbers(dict):
+    """Words to items or groups; words that are met get their group once, until too many are remembered."""
+
+    def __init__(self, items: dict[bytes, int]):
+        super().__init__(items)
+        self.items_ = items
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.items_) + HELD:
+            self.clear()
+            self.update(self.items_)
+        self[word] = number = bucket_of(word)
+        return number
+
+
+def flat(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all texts, where each text starts, and each token's neighbours; a text's ends are neighbours, too."""
+    words: list[bytes] = []
+    ends = [0]
+    for text in texts:
+        words += tokens(text)
+        ends.append(len(words))
+    ends = np.array(ends)
+    before, after = np.arange(len(words)) - 1, np.arange(len(words)) + 1
+    before[ends[:-1]], after[ends[1:] - 1] = ends[1:] - 1, ends[:-1]
+    return words, ends[:-1], before, after
+
+
 def _bigrams(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, size = received(known), ITEMS + BUCKETS
+        numbers, size = Numbers(received(known)), ITEMS + BUCKETS
         held: list[np.ndarray] = []
         waiting = 0
 
@@ -97,13 +125,10 @@ def _bigrams(known):
             return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
         for batch in slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                own = np.fromiter(map(items.get, words, repeat(-1)), np.int64, len(words))
-                for i in np.flatnonzero(own < 0).tolist():
-                    own[i] = bucket_of(words[i])
-                held.append(np.r_[own[-1], own[:-1]] * size + own)  # the end also stands before the first
-                waiting += len(own)
+            words, _, before, _ = flat(batch.column(0).to_pylist())
+            own = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            held.append(own[before] * size + own)  # the end also stands before the first
+            waiting += len(own)
             if waiting > 8 * HELD:
                 waiting = 0
                 yield send()
@@ -192,47 +217,56 @@ def _contexts(bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-_CONTEXTS = pa.schema([("word", pa.binary()), ("at", pa.int32()), ("n", pa.int64())])
 #: A context is the classes before and after; those of words that are no items, so far of their group, are CLASSES higher.
 _SIDES = 2 * CLASSES
+_CONTEXTS = pa.schema([("word", pa.binary()), ("at", pa.binary())])
+#: Contexts that a task holds before it passes them on.
+CONTEXTS = 1 << 20
 
 
 def _word_contexts(sent):
-    """Contexts of all words but the items. Those of the TOP words are counted before they leave a task."""
+    """A row for each word but the items and each stretch of a task's texts: its contexts there, as 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, classes = received(sent)
-        held: list[np.ndarray] = []
+        top = np.array([classes[i] if i < ITEMS else classes[bucket_of(w)] + CLASSES for i, w in enumerate(words)], np.int64)
+        local: dict[bytes, int] = {}  # words that have no number
+        sides: list[int] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
-        def send(rest: list[bytes], at: list[np.ndarray]) -> pa.RecordBatch:
-            places = np.concatenate([np.empty(0, np.int64), *at])
-            n = np.ones(len(places), np.int64)
-            if waiting > 2 * HELD or not rest:
-                code, count = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
-                rest = rest + [words[i] for i in (code // _SIDES**2).tolist()]
-                places, n = np.r_[places, code % _SIDES**2], np.r_[n, count]
-                held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rest, pa.binary()), pa.array(places.astype(np.int32)), pa.array(n)], schema=_CONTEXTS)
+        def send() -> pa.RecordBatch:
+            number, at = (np.concatenate(c) for c in zip((np.empty(0, np.int64), np.empty(0, np.uint16)), *held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.uint16))
+            order = np.argsort(number, kind="stable")
+            number, at = number[order], at[order]
+            first = np.flatnonzero(np.r_[number[:1] >= 0, number[1:] != number[:-1]])
+            names = list(local)
+            own = [words[i] if i < len(words) else names[i - len(words)] for i in number[first].tolist()]
+            ends = np.r_[first, len(number)].astype(np.int32) * 2
+            blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(at.tobytes())])
+            held.clear()
+            local.clear()
+            sides.clear()
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), blob], schema=_CONTEXTS)
 
         for batch in slices(batches, 0):
-            rest, at = [], []
-            for text in batch.column(0).to_pylist():
-                own = tokens(text)
-                number = np.fromiter(map(ids.get, own, repeat(-1)), np.int64, len(own))
-                loose = np.flatnonzero((number < 0) | (number >= ITEMS))
-                side = classes[np.minimum(number, ITEMS - 1)]
-                side[loose] = [classes[bucket_of(own[i])] + CLASSES for i in loose.tolist()]
-                place = (np.r_[side[-1], side[:-1]] * _SIDES + np.r_[side[1:], side[0]])[loose]
-                top = number[loose] >= 0
-                held.append(number[loose[top]] * _SIDES**2 + place[top])
-                waiting += int(top.sum())
-                rest += [own[i] for i in loose[~top].tolist()]
-                at.append(place[~top])
-            yield send(rest, at)
-            waiting = waiting if held else 0
-        waiting = 0
-        yield send([], [])
+            own, _, before, after = flat(batch.column(0).to_pylist())
+            number = np.fromiter(map(ids.get, own, repeat(-1)), np.int64, len(own))
+            for i in np.flatnonzero(number < 0).tolist():
+                w = own[i]
+                k = local.get(w)
+                if k is None:
+                    k = local[w] = len(local)
+                    sides.append(classes[bucket_of(w)] + CLASSES)
+                number[i] = len(words) + k
+            side = np.r_[top, np.array(sides, np.int64)][number]
+            loose = np.flatnonzero(number >= ITEMS)
+            held.append((number[loose], (side[before[loose]] * _SIDES + side[after[loose]]).astype(np.uint16)))
+            waiting += len(loose)
+            if waiting > CONTEXTS:
+                waiting = 0
+                yield send()
+        yield send()
 
     return run
 
@@ -248,33 +282,53 @@ def _assign(sent):
         transition, tokens_of = received(sent)
         before = np.tile(transition - np.log(tokens_of)[None, :], (2, 1))  # by side before and class
         after = np.tile(transition.T, (2, 1))  # by side after and class
-        table = np.zeros((CLASSES, CLASSES))
+        table = np.zeros(CLASSES * CLASSES)
         share = np.repeat([1.0, 0.5], CLASSES)
-        rest = None
-        for batch in chain(batches, [None]):
-            now = rest if batch is None else pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-            if now is None or not now.num_rows:
+        last, sums = None, np.zeros((2, _SIDES), np.int64)  # a word that may go on, and its sides so far
+
+        def finish() -> pa.RecordBatch:
+            c = int((sums[0] @ before + sums[1] @ after).argmax())
+            side = np.arange(_SIDES) % CLASSES
+            np.add.at(table, side * CLASSES + c, sums[0] * share)
+            np.add.at(table, c * CLASSES + side, sums[1] * share)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([int(sums[0].sum())]), pa.array([c], pa.int32()), pa.nulls(1, pa.float64())], schema=_LEXICON)
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            now = now.combine_chunks()
-            word, n = now.column(0).chunk(0), now.column(2).to_numpy()
-            first = np.flatnonzero(np.r_[True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)])
-            if batch is not None:  # the last word may go on; its contexts so far wait as few rows
-                rest = now.slice(int(first[-1])).group_by(["word", "at"]).aggregate([("n", "sum")]).rename_columns(["word", "at", "n"]).cast(_CONTEXTS)
-                end, first = int(first[-1]), first[:-1]
-                if not end:
-                    continue
-            else:
-                end = len(word)
-            n, at = n[:end], now.column(1).to_numpy()[:end]
+            word, size = batch.column(0), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 2
+            at = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).astype(np.int64)
             b, a = at // _SIDES, at % _SIDES
-            value = np.add.reduceat(n[:, None] * (before[b] + after[a]), first, axis=0)
-            own = value.argmax(1)
-            c = np.repeat(own, np.diff(np.r_[first, end]))
-            np.add.at(table, (b % CLASSES, c), n * share[b])
-            np.add.at(table, (c, a % CLASSES), n * share[a])
-            yield pa.RecordBatch.from_arrays([word.take(pa.array(first)), pa.array(np.add.reduceat(n, first)), pa.array(own.astype(np.int32)), pa.nulls(len(first), pa.float64())], schema=_LEXICON)
+            first = np.flatnonzero(np.r_[True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)])
+            begin = (np.cumsum(size) - size)[first]
+            ends = np.r_[begin[1:], len(at)]
+            if word[0].as_py() != last and last is not None:
+                yield finish()
+                sums[:] = 0
+            if len(first) > 1:
+                group = np.repeat(np.arange(len(first) - 1), (ends - begin)[:-1])
+                value = np.zeros((len(first) - 1, CLASSES))
+                value[0] = sums[0] @ before + sums[1] @ after
+                for s in range(0, len(group), 1 << 15):
+                    g = group[s : s + (1 << 15)]
+                    cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+                    value[g[cut]] += np.add.reduceat(before[b[s : s + len(g)]] + after[a[s : s + len(g)]], cut, axis=0)
+                own = value.argmax(1)
+                c, m = own[group], len(group)
+                table += np.bincount(b[:m] % CLASSES * CLASSES + c, share[b[:m]], CLASSES**2) + np.bincount(c * CLASSES + a[:m] % CLASSES, share[a[:m]], CLASSES**2)
+                side = np.arange(_SIDES) % CLASSES
+                np.add.at(table, side * CLASSES + own[0], sums[0] * share)
+                np.add.at(table, own[0] * CLASSES + side, sums[1] * share)
+                n = (ends - begin)[:-1]
+                n[0] += sums[0].sum()
+                sums[:] = 0
+                yield pa.RecordBatch.from_arrays([word.take(pa.array(first[:-1])), pa.array(n), pa.array(own.astype(np.int32)), pa.nulls(len(own), pa.float64())], schema=_LEXICON)
+            last = word[int(first[-1])].as_py()
+            sums += np.stack([np.bincount(x[begin[-1] :], minlength=_SIDES) for x in (b, a)])
+        if last is not None:
+            yield finish()
         code = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.nulls(len(code), pa.int64()), pa.array(code.astype(np.int32)), pa.array(table.ravel()[code])], schema=_LEXICON)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.nulls(len(code), pa.int64()), pa.array(code.astype(np.int32)), pa.array(table[code])], schema=_LEXICON)
 
     return run
 
@@ -339,7 +393,7 @@ def train(docs: DataFrame, stash: Stash) -> tuple[Model, DataFrame]:
     classes = _items(bigrams)
     shape = _table(bigrams, classes, items=False)
     sent = broadcast(spark, ({w: i for i, w in enumerate(words)}, words, classes))
-    loose = docs.select("data").mapInArrow(_word_contexts(sent), "word binary, at int, n long").repartition(partitions(spark), "word").sortWithinPartitions("word")
+    loose = docs.select("data").mapInArrow(_word_contexts(sent), "word binary, at binary").repartition(partitions(spark), "word").sortWithinPartitions("word")
     sent = broadcast(spark, (np.log(_smoothed(shape, shape.sum(0), n)), shape.sum(0) + 1))
     found = stash.save(loose.mapInArrow(_assign(sent), _LEXICON_SQL))
     table = _table(bigrams, classes, items=True)
@@ -382,14 +436,18 @@ def _look_up(sent):
         log, class_of = np.log10(value[:, 0] + 0.5), value[:, 1].astype(np.int32)
         for batch in slices(batches, 1):
             rows = []
-            for text in batch.column(1).to_pylist():
-                words = tokens(text)
-                number = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
-                classes, common = class_of[number], number >= 0
+            words, starts, _, _ = flat(batch.column(1).to_pylist())
+            number = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+            classes, value_of = class_of[number], np.where(number >= 0, log[number], 0.0)
+            loose = np.flatnonzero(number < 0)
+            cuts = np.searchsorted(loose, np.r_[starts, len(words)]).tolist()
+            loose = loose.tolist()
+            for a, b, s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(words)], cuts[:-1], cuts[1:], strict=True):
                 rare: dict[bytes, int] = {}
-                loose = np.flatnonzero(~common)
-                classes[loose] = [-1 - rare.setdefault(words[i], len(rare)) for i in loose.tolist()]
-                rows.append((len(words), len(words) - len(loose), float(log[number[common]].sum()), classes.tobytes(), list(rare)))
+                own = loose[s:e]
+                if own:
+                    classes[own] = [-1 - rare.setdefault(words[i], len(rare)) for i in own]
+                rows.append((b - a, b - a - (e - s), float(value_of[a:b].sum()), classes[a:b].tobytes(), list(rare)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(columns, _SCORED, strict=True))], names=["row", *_SCORED.names])
 
