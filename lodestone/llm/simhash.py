@@ -10,7 +10,15 @@ largest coordinate difference, and the survivors are verified bit by bit.
 Defined cases: a null or blank text has fingerprint zero and links like any other; fewer words than a shingle give one
 shingle of all words; repeated shingles count each time; copies share a fingerprint and are linked through it, never
 pair by pair; rows without an id link like any other but are never the least member (the component is null where none of
-its rows has an id); an id with several texts stands at each of their fingerprints; an empty table gives an empty result; other columns are not read.
+its rows has an id); an id with several texts stands at each of their fingerprints; very long texts are hashed CHUNK
+shingles at a time; an empty table gives an empty result; other columns pass through inside ``row``.
+
+``similar_groups`` links by similarity instead of a few bits: fingerprints of WIDE * 64 bits over the distinct shingles,
+which differ in a share of bits that depends on the similarity alone. So many bits cannot be split into blocks that must
+agree; references that vary in a few drawn bits each give keys instead (the differences of a fingerprint's distances to
+them are those bits), for so many draws that a pair at the bound meets in two of them on average: 86 of 100 such pairs
+meet, and 99 of 100 at a similarity of 0.9. The number of bits of a key grows with the logarithm of the table, so that
+few others meet.
 """
 
 from __future__ import annotations
@@ -173,19 +181,167 @@ def _hot(frame):
 def links(prints: DataFrame, stash: Stash, bucket: int = BUCKET) -> DataFrame:
     """prints: print, rep (distinct prints). Returns edges a, b of representatives that connect what links within RADIUS connect."""
     keyed = stash.save(prints.select("print", "rep").where("rep is not null").mapInArrow(_keys, "key long, print long, rep long"))
+    return _dealt(keyed, stash, bucket, _cold, _hot)
+
+
+def _dealt(keyed: DataFrame, stash: Stash, bucket: int, cold_edges, hot_edges) -> DataFrame:
+    """Edges a, b among the rows of each key: a key of few rows in one task, of more in a task for each two of its blocks."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
     hot = stash.save(keyed.join(sizes, "key"))
     if hot.isEmpty():
         cold = keyed
     else:
         cold = keyed.join(hot.select("key").distinct(), "key", "left_anti")
-    edges = cold.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key").select("key", "print", "rep").mapInArrow(_cold, "a long, b long")
+    edges = cold.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key").select("key", "print", "rep").mapInArrow(cold_edges, "a long, b long")
     blocks = F.ceil(F.col("n") / bucket).cast("int")
     own = F.pmod(F.xxhash64("print"), blocks).cast("int")
     dealt = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "print", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "other")
     sides = dealt.withColumn("side", F.explode(F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own") > F.col("other")).cast("int")))))
-    return edges.unionByName(sides.groupBy("key", "i", "j").applyInPandas(_hot, "a long, b long"))
+    return edges.unionByName(sides.groupBy("key", "i", "j").applyInPandas(hot_edges, "a long, b long"))
+
+
+#: Words of a wide fingerprint; references of its distance table; times that a pair at the bound meets on average.
+WIDE, WIDE_REFERENCES, MEETINGS = 4, 16, 2.0
+
+
+def wide_fingerprint(words: list[bytes], size: int) -> bytes:
+    if not words:
+        return bytes(8 * WIDE)
+    digest, size = xxhash.xxh64_intdigest, min(size, len(words))
+    h = np.unique(np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)], np.uint64))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), CHUNK):
+        part = h[i : i + CHUNK]
+        wide = np.stack([part, *(mix64(part + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(1, WIDE))], 1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h)).tobytes()
+
+
+def _wide_fingerprints(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            prints = [wide_fingerprint(t.lower().split(), size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["row", "print"])
+
+    return run
+
+
+def shares(similarity: float) -> tuple[float, int]:
+    """The share of bits in which two sets of that Jaccard similarity differ, and the bits up to which they are linked."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * WIDE
+    return share, int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def _wide_keys(bits: int, draws: int):
+    rng = np.random.default_rng(11)
+    drawn = [rng.choice(64 * WIDE, bits, replace=False) for _ in range(draws)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ones = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1)
+            for t, places in enumerate(drawn):
+                code = ones[:, places].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+                key = mix64(code + np.uint64(t << 40)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], names=["key", "print", "rep"])
+
+    return run
+
+
+class _Wide:
+    """Wide fingerprints with their distances to the references."""
+
+    def __init__(self, prints: list[bytes], most: int):
+        self.x = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, WIDE)
+        references = np.random.default_rng(12).integers(0, 2**64, (WIDE_REFERENCES, WIDE), np.uint64)
+        self.table = np.stack([np.bitwise_count(self.x ^ r).sum(1, dtype=np.int16) for r in references], 1)
+        self.most = most
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs survive the largest coordinate difference and the bit by bit test."""
+        found = np.abs(self.table[i] - self.table[j]).max(1) <= self.most
+        at = np.flatnonzero(found)
+        found[at] = np.bitwise_count(self.x[i[at]] ^ self.x[j[at]]).sum(1) <= self.most
+        return found
+
+    def connect(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that connect what links among the members ``at`` connect. What is linked to the first member needs no
+        further comparison with each other; all others meet everyone."""
+        if len(at) < 2:
+            return at[:0], at[:0]
+        first = at[self.close(np.full(len(at), at[0]), at)]
+        a, b = [np.full(len(first), at[0])], [first]
+        for i in np.setdiff1d(at, first).tolist():
+            near = at[self.close(np.full(len(at), i), at)]
+            a.append(np.full(len(near), i))
+            b.append(near)
+        return np.concatenate(a), np.concatenate(b)
+
+
+def _wide_cold(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            now = rest if batch is None else pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            if now is None or not now.num_rows:
+                continue
+            key = now.column(0).to_numpy()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            rest, end = (None, len(key)) if batch is None else (now.slice(int(first[-1])), int(first[-1]))
+            size = np.diff(np.r_[first, len(key)])
+            at = np.flatnonzero(np.repeat(size > 1, size)[:end])
+            if not len(at):
+                continue
+            own = now.take(pa.array(at))
+            rep, wide = own.column(2).to_numpy(), _Wide(own.column(1).to_pylist(), most)
+            size = size[(size > 1) & (first < end)]
+            begin = np.cumsum(size) - size
+            a, b = [], []
+            i, ends, d = np.flatnonzero(np.repeat(size <= 32, size)), np.repeat(begin + size, size), 1
+            while len(i := i[i + d < ends[i]]):
+                close = wide.close(i, i + d)
+                a.append(i[close])
+                b.append(i[close] + d)
+                d += 1
+            for s, n in zip(begin[size > 32].tolist(), size[size > 32].tolist(), strict=True):
+                p, q = wide.connect(np.arange(s, s + n))
+                a.append(p)
+                b.append(q)
+            if a:
+                p, q = forest(rep[np.concatenate(a)], rep[np.concatenate(b)])
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _wide_hot(most: int):
+    def run(frame):
+        import pandas as pd
+
+        own = frame.drop_duplicates("rep")
+        a, b = _Wide(own.print.tolist(), most).connect(np.arange(len(own)))
+        rep = own.rep.to_numpy()
+        p, q = forest(rep[a], rep[b]) if len(a) else (rep[:0], rep[:0])
+        return pd.DataFrame({"a": p, "b": q})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, stash: Stash, size: int = 5, similarity: float = 0.8, text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """Returns row (all columns but the text) and component (long), equal for rows whose texts links connect."""
+    data = docs.select(packed([c for c in docs.columns if c != text]), utf8(text).alias("data"))
+    prints = stash.save(data.mapInArrow(_wide_fingerprints(size), with_row(data, "print binary")))
+    named = stash.save(prints.select("print").distinct().withColumn("rep", F.monotonically_increasing_id()))
+    share, most = shares(similarity)
+    bits = int(np.clip(np.ceil(np.log2(max(named.count(), 1))), 12, 32))
+    keyed = named.mapInArrow(_wide_keys(bits, int(np.ceil(MEETINGS / (1 - share) ** bits))), "key long, print binary, rep long")
+    edges = _dealt(keyed, stash, bucket, _wide_cold(most), _wide_hot(most))
+    found = components(stash.save(edges), stash)
+    label = named.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component"))
+    return prints.join(label, "print").select("row", "component")
 
 
 def near_duplicates(docs: DataFrame, stash: Stash, size: int = 3, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:

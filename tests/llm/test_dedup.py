@@ -176,6 +176,75 @@ def brute_print(text, size=3):
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
 
 
+def shingles(text, size):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar_pairs(rows, size):
+    """(id, id, Jaccard similarity) of all pairs that share a shingle."""
+    sets = {r.doc_id: shingles(r.text, size) for r in rows}
+    by_shingle = {}
+    for k, own in sets.items():
+        for x in own:
+            by_shingle.setdefault(x, []).append(k)
+    pairs = Counter((a, b) for own in by_shingle.values() for a in own for b in own if a < b)
+    return [(a, b, n / (len(sets[a]) + len(sets[b]) - n)) for (a, b), n in pairs.items()]
+
+
+def brute_groups(ids, links):
+    """The least id that links reach, for each."""
+    least = {k: k for k in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            if (least[a], least[b]) != (low, low):
+                least[a] = least[b] = low
+                changed = True
+    return least
+
+
+def similar_rows(n=150, words=200, seed=9):
+    """Texts, a copy of each with some words changed, and unrelated ones."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(n):
+        text = [word() for _ in range(words)]
+        copy = list(text)
+        for at in rng.sample(range(words), rng.randint(0, 5)):
+            copy[at] = word()
+        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(text[:100] + [word() for _ in range(100)]))]
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_similar_groups(spark, bucket):
+    rows = similar_rows()
+    out = simhash.similar_groups(frame(spark, [*rows, (None, rows[0][1]), (900, None), (901, " "), (902, "few words")]), Stash(spark), bucket=bucket).collect()
+    group = {r.row.doc_id: r.component for r in out}
+    assert len(out) == len(rows) + 4 and group[None] == group[0] and group[900] == group[901] != group[902] and out[0].row.keep == 1
+    found = {True: Counter(), False: Counter()}
+    for a, b, j in similar_pairs([r for r in frame(spark, rows).collect()], 5):
+        found[group[a] == group[b]][int(20 * j)] += 1
+    hit = lambda low, high: sum(found[True][x] for x in range(low, high)) / max(1, sum(found[True][x] + found[False][x] for x in range(low, high)))
+    assert hit(18, 21) >= 0.98 and hit(16, 18) >= 0.8 and hit(0, 11) == 0
+
+
+def test_connect_by_brute_force():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**64, (6, simhash.WIDE), np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(256, 26, replace=False)) for _ in range(200)]
+    prints = [(int.from_bytes(centres[i % 6].tobytes(), "little") ^ f).to_bytes(32, "little") for i, f in enumerate(flips)]
+    most = simhash.shares(0.8)[1]
+    a, b = simhash._Wide(prints, most).connect(np.arange(200))
+    value = [int.from_bytes(p, "little") for p in prints]
+    links = [(i, j) for i in range(200) for j in range(i) if (value[i] ^ value[j]).bit_count() <= most]
+    assert links and brute_groups(range(200), list(zip(a.tolist(), b.tolist(), strict=True))) == brute_groups(range(200), links)
+
+
 def brute_components(prints):
     ids = sorted(prints)
     root = {k: k for k in ids}

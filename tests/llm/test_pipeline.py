@@ -2,13 +2,14 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import queries, sentencepiece
+from lodestone.llm import queries, sentencepiece, simhash
 from lodestone.llm.common import Stash
 
-from .test_dedup import brute_components, brute_print, brute_windows
+from .test_dedup import brute_groups, brute_windows, similar_pairs
 from .test_models import brute_targets
 
 
@@ -37,9 +38,17 @@ def test_toxicity(spark, sf_dir, staged):
 
 
 def test_near_duplicates(staged):
+    """Dropped is what a chain of links of all pairs of fingerprints joins to a lesser id; what is similar enough has one survivor."""
     before, after, _ = staged["simhash_near_dedup"]
-    component = brute_components({r.doc_id: brute_print(r.text) for r in before})
-    assert sorted(after) == sorted(r for r in before if component[r.doc_id] == r.doc_id)
+    ids = [r.doc_id for r in before]
+    wide = simhash._Wide([simhash.wide_fingerprint((r.text or "").encode().lower().split(), 5) for r in before], simhash.shares(0.8)[1])
+    links = {(ids[i], ids[j]) for i in range(len(ids)) for j in np.flatnonzero(wide.close(np.full(len(ids), i), np.arange(len(ids)))).tolist()}
+    component = brute_groups(ids, links)
+    kept = {r.doc_id for r in after}
+    assert len(after) == len(kept) and sorted(after) == sorted(r for r in before if r.doc_id in kept)
+    assert all(component[k] != k for k in set(ids) - kept) and {component[k] for k in ids} <= kept
+    close = [(a, b) for a, b, j in similar_pairs(before, 5) if j >= 0.9]
+    assert close and not [p for p in close if p[0] in kept and p[1] in kept]
 
 
 def test_passages(staged):
@@ -93,7 +102,7 @@ def test_odd_documents(spark, tmp_path, sf_dir):
 def test_unlike_rows_that_share_an_id_stay(spark):
     """Of id 1 the near copy of id 0 goes and the two other texts stay, each once."""
     a, b, c = (" ".join(f"{k}{i * i % 97}" for i in range(60)) for k in "abc")
-    rows = [(0, a), (1, a), (1, b), (1, c), (1, c), (None, b), (None, c + " and quite another end of it " * 20)]
+    rows = [(0, a), (1, a), (1, b), (1, c), (1, c), (None, b), (None, c + " " + " ".join(f"end{i}" for i in range(60)))]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, None)
     assert out.columns == corpus_pipeline.COLUMNS
