@@ -19,16 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the row with the least id stays, of those that repeat it the one whose text has the least hash.
+    """Of each group of texts linked by a similarity of 0.8 or more (five-word shingles) the row with the least id stays.
 
-    A document without an id works under a large number made from its text, so that ids go before it. Rows are told apart
-    by a number written with them, so that rows that share an id but not a component all count.
+    Rows without an id come after those with one; of rows that share an id and a group the one whose text has the least
+    hash stays. Rows are told apart by a number written with them, so that rows that share an id but no group all count.
+    Null and blank texts are alike and form one group; an empty table gives an empty one.
     """
     stash = Stash(spark)
-    own = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    named = stash.save(docs.select(F.monotonically_increasing_id().alias("at"), own.alias("own"), *COLUMNS))
-    found = simhash.near_duplicates(named.select("at", "own", F.xxhash64("text").alias("hash"), "text"), stash, doc_id="at")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("row.own", "row.hash", "row.at")).getField("at").alias("at"))
+    named = stash.save(docs.select(F.monotonically_increasing_id().alias("at"), *COLUMNS))
+    found = simhash.similar_groups(named.select("at", "doc_id", F.xxhash64("text").alias("hash"), "text"), stash)
+    least = F.min(F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "row.hash", "row.at"))
+    kept = found.groupBy("component").agg(least.getField("at").alias("at"))
     return named.join(kept.select("at"), "at").select(COLUMNS)
 
 
