@@ -9,8 +9,9 @@ source costs no more than its distinct sizes. Rates become whole copies by cumul
 source in order of size, then the remainder is settled by the class that comes nearest to it.
 
 Defined cases: a null or blank text has size 0 and takes 0; a null source is a source of its own, ranked last; an
-empty table or one without words gives rows with zeros; repeated rows and null ids are further documents (equal rows
-are interchangeable); other columns pass through inside ``row``.
+empty table or one without words gives rows with zeros; repeated rows and null ids are further documents, drawn in the
+order of a hash of id and text, so that reruns agree (rows that repeat both are interchangeable); very long texts count
+like others; other columns pass through inside ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Stash
+from .common import WORD, Stash, packed, quoted
 
 #: Copies of one document at most.
 CEILING = 2
 #: Relative error of a source's tokens at which its multiplier is settled, and the most Newton steps.
-TOLERANCE, STEPS = 1e-7, 40
-#: Rounds in which the words that rounding left over are settled, and folds of a class among which its extra copies are dealt.
-SETTLE, FOLDS = 4, 256
+TOLERANCE, STEPS = 1e-7, 200
+#: Folds of a class among which its extra copies are dealt.
+FOLDS = 256
 #: Limits of a multiplier; exp(60) is beyond any rate.
 LIMIT = 60.0
 
@@ -88,6 +89,8 @@ def multipliers(classes: DataFrame, targets: DataFrame, stash: Stash) -> DataFra
         now = after
         if now.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"multipliers have not settled in {STEPS} steps")
     return now.select("source", "source_size", "target", "mean", "m")
 
 
@@ -99,24 +102,26 @@ def class_copies(classes: DataFrame, targets: DataFrame, stash: Stash) -> DataFr
     whole = F.floor(so_far + 0.5)
     copies = whole - F.coalesce(F.lag(whole).over(Window.partitionBy("source").orderBy("size")), F.lit(0))
     now = stash.save(rated.withColumn("upto", so_far).withColumn("copies", F.greatest(F.lit(0), F.least(copies, CEILING * F.col("n")))).drop("upto"))
-    for _ in range(SETTLE):
+    while True:  # every move brings its source's words nearer to the target, by whole words
         rest = now.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
         open_ = now.join(rest, "source")
         room = F.when(F.col("rest") > 0, CEILING * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
         move = F.least(room, F.greatest(F.lit(1), F.floor(F.abs("rest") / F.col("size"))))
         left = F.abs(F.abs("rest") - move * F.col("size"))
         best = open_.where((room > 0) & (left < F.abs("rest"))).groupBy("source").agg(F.min(F.struct(left.alias("left"), "size", (move * F.signum("rest")).cast("long").alias("move"))).alias("best"))
-        moves = best.select("source", "best.size", "best.move")
+        moves = stash.save(best.select("source", "best.size", "best.move"))
+        if moves.isEmpty():
+            return now.select("source", "size", "n", "rate", "copies")
         after = stash.save(now.join(moves, ["source", "size"], "left").select("source", "size", "n", "target", "rate", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies")))
-        stash.drop(now)
+        stash.drop(now, moves)
         now = after
-    return now.select("source", "size", "n", "rate", "copies")
 
 
 def mix(docs: DataFrame, stash: Stash, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, doc_id: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Returns row (the columns ``keep``, by default all but the text), size, source_size, target, rate, copies (0 to CEILING)."""
-    row = F.struct(*(keep or [c for c in docs.columns if c != text]))
-    sized = docs.select(row.alias("row"), source_key(F.col(source)).alias("source"), word_count(F.col(text)).alias("size"), F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64(F.lit("rank"), doc_id).alias("draw"))
+    row = packed(keep or [c for c in docs.columns if c != text])
+    own, text = quoted(doc_id), quoted(text)
+    sized = docs.select(row, source_key(F.col(quoted(source))).alias("source"), word_count(F.col(text)).alias("size"), F.pmod(F.xxhash64(F.lit("fold"), own, text), F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64(F.lit("rank"), own, text).alias("draw"))
     folds = stash.save(sized.groupBy("source", "size", "fold").agg(F.count("*").alias("n")))
     sizes = folds.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = stash.save(source_targets(sizes, weights, share))

@@ -5,13 +5,13 @@ categories; it is trained with out-of-fold predictions of those, so that it lear
 the ones it will get. The models are logistic regressions over hashed words, fitted by conjugate gradients on a bounded
 sample of labelled rows (``SAMPLE`` rows, least hash of the id); scoring covers whole texts of all rows.
 
-The categories form a chain by kind of evidence: words spelled out (``direct``), then the final verdict (``toxic``);
-callers may name any label columns of 0 and 1. Labels that are null leave their row out of that category's training.
+The categories are label columns of 0 and 1 in the order of the chain; the query op6 takes low quality first, then the
+verdict (``toxic``), which low quality supports. Labels that are null leave their row out of that category's training.
 
 Defined cases: a null or blank text has no words and gets the models' intercepts; labels without a document and
 documents without a label are fine; rows of the labels that repeat an id count each; if the sample holds one class
 only, its smoothed share is the probability for all; an empty table gives an empty result; other columns pass through
-inside ``row``.
+inside ``row``, whatever their names; very long texts count like others, one at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, received, slices, utf8
+from .common import broadcast, packed, quoted, received, slices, small_batches, utf8, with_row
 
 #: Labelled rows that the models are fitted on, at most; a documented bound, the only one here.
 SAMPLE = 5_000
@@ -220,11 +220,14 @@ def apply_chain(chain: Chain, x: Rows) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """Fits the chain on the driver, on at most ``sample`` labelled rows; what is collected is bounded by that."""
-    rank = F.xxhash64(F.lit("sample"), doc_id)
-    chosen = labels.select(doc_id, *categories).where(F.col(doc_id).isNotNull()).orderBy(rank, doc_id, *categories).limit(sample)
-    rows = docs.select(doc_id, utf8(text).alias("data")).join(F.broadcast(chosen), doc_id)
-    data = rows.select(F.struct(F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).alias("fold"), rank.alias("rank"), *categories).alias("row"), "data")
-    found = data.mapInArrow(_features, f"row {data.schema['row'].dataType.simpleString()}, places array<int>").orderBy("row.rank").limit(2 * sample).toArrow()
+    own, names = quoted(doc_id), [quoted(c) for c in categories]
+    chosen = labels.select(own, *names).where(F.col(own).isNotNull()).orderBy(F.xxhash64(F.lit("sample"), own), own, *names).limit(sample)
+    # Of documents that repeat an id the one whose text has the least hash; so the sample bounds the rows, too.
+    texts = docs.select(own, utf8(text).alias("data")).join(F.broadcast(chosen.select(own).distinct()), doc_id)
+    texts = texts.groupBy(own).agg(F.min(F.struct(F.xxhash64("data"), "data"))["data"].alias("data"))
+    rows = texts.join(F.broadcast(chosen), doc_id)
+    data = rows.select(F.struct(F.pmod(F.xxhash64(F.lit("fold"), own), F.lit(FOLDS)).alias("fold"), F.xxhash64(F.lit("sample"), own).alias("rank"), *names).alias("row"), "data")
+    found = data.mapInArrow(_features, with_row(data, "places array<int>")).orderBy("row.rank").toArrow()
     row, places = found.column("row").combine_chunks(), found.column("places").combine_chunks()
     known = np.stack([np.array(row.field(c).to_pylist(), float) for c in categories], 1) if len(row) else np.empty((0, len(categories)))
     x = Rows.of([np.asarray(p, np.int32) for p in places.to_pylist()])
@@ -247,6 +250,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
 
     The broadcast models have a fixed size: SPACE weights a category.
     """
-    data = docs.select(F.struct(*(keep or [c for c in docs.columns if c != text])).alias("row"), utf8(text).alias("data"))
+    small_batches(docs.sparkSession)
+    data = docs.select(packed(keep or [c for c in docs.columns if c != text]), utf8(text).alias("data"))
     models = broadcast(docs.sparkSession, chain)
-    return data.mapInArrow(_score(models), f"row {data.schema['row'].dataType.simpleString()}, probabilities array<double>")
+    return data.mapInArrow(_score(models), with_row(data, "probabilities array<double>"))

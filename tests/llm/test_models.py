@@ -345,8 +345,24 @@ def test_place_and_write(spark, tmp_path):
     assert len({r.shard for r in out if r.doc_id == 1}) == 1
     sharding.write_shards(df, "doc_id", shards, f"{tmp_path}/x", 101)
     assert spark.read.parquet(f"{tmp_path}/x").count() == 502
-    with pytest.raises(ValueError):
-        sharding.place(df.withColumn("slot", F.lit(1)), "doc_id", shards)
+    clash = sharding.place(df.select("doc_id", F.lit(-1).alias("Slot"), F.lit("x").alias("shard"), F.lit(3).alias("a.b")), "doc_id", shards, 101)
+    assert clash.columns == ["doc_id", "Slot", "shard", "a.b", "slot_", "shard_"]
+    assert all(r.Slot == -1 and r.shard == "x" and shards[owner[r.slot_]] == r.shard_ for r in clash.collect())
+
+
+def test_mix_tells_rows_without_ids_apart(spark):
+    """Which of the rows without an id are copied does not depend on how they are dealt out."""
+    rows = [(None, f"w{i} " * 7, "ab"[i % 2]) for i in range(60)] + [(5, f"v{i} " * 7, "a") for i in range(20)]
+    run = lambda n: sorted((r.row.doc_id or 0, r.row.text, r.copies) for r in mixing.mix(docs(spark, rows).repartition(n), Stash(spark), text="text", keep=["doc_id", "text"]).collect())
+    assert run(1) == run(3) == run(4)
+
+
+def test_toxicity_of_repeated_ids_and_odd_names(spark):
+    rows, labels = toxic_rows(200)
+    df = docs(spark, rows + rows[:50] + [(rows[0][0], "another text", "s")]).withColumn("a.b c", F.lit(1))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int") if len(labels[0]) == 3 else spark.createDataFrame(labels, "doc_id long, toxic int")
+    chain = toxicity.train(df, marks, ["toxic"], sample=150)
+    assert toxicity.score(df, chain).first().row["a.b c"] == 1
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, n_links int, rank int"
