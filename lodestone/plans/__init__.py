@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them."""
 
-from . import detection, lineage, logs, quality, review, spans, text  # noqa: F401
+from . import anchors, detection, lineage, logs, ordering, quality, review, spans, text  # noqa: F401

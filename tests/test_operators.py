@@ -176,3 +176,14 @@ def test_job_recovery(spark):
     jobs = spark.sql("select * from values (1, 'running', timestamp'2024-01-01 00:00:00', 1), (2, 'running', timestamp'2024-01-01 00:00:00', 3), (3, 'pending', null, 0), (4, 'running', timestamp'2024-01-01 10:00:00', 1) as t(id, status, leased_at, attempts)")
     out = {r.id: (r.status, r.error) for r in st.recover(jobs, F.lit("2024-01-01 10:30:00").cast("timestamp"), 3600, 3).collect()}
     assert out == {1: ("pending", None), 2: ("failed", "interrupted"), 3: ("pending", None), 4: ("running", None)}
+
+
+def test_line_stretches(spark):
+    from lodestone.plans import ordering
+
+    rows = [(1, "a" * 700 + "\n" + "b" * 700 + "\n"), (2, "x" * 3000 + "\nshort\n"), (3, ""), (4, None), (5, "\r\n".join(f"line {i}" for i in range(500)))]
+    out = ordering.stretches(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    for k, text in rows:
+        own = sorted((r.start, r.stretch) for r in out if r.id == k)
+        assert "".join(t for _, t in own) == (text or "") and [s for s, _ in own] == [sum(len(t) for _, t in own[:i]) for i in range(len(own))]
+        assert all(len(t) <= 1200 or len(t.splitlines()) == 1 for _, t in own) and all(len(a) + len(b.splitlines(keepends=True)[0]) > 1200 for (_, a), (_, b) in zip(own, own[1:], strict=False))
