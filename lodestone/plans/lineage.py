@@ -9,7 +9,7 @@ from ..catalog import register
 from ..functions import anchors as an
 from ..operators import layout
 from ..sources.tables import SPANS, spans, table, values
-from .text import _TOKENS, tokens
+from .text import _FLAT, _TOKENS, tokens
 
 
 @register("anchor_tokens")
@@ -26,26 +26,29 @@ def anchor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", an.anchor_id(F.col("doc_id"), F.col("s"), F.col("e"), F.col("token")).alias("anchor_id"))
 
 
-_TOK = f"(SELECT doc, s AS s2, e AS e2 FROM {SPANS} WHERE id % 4 = 1)"
+_TOK = f"(SELECT doc, s AS s2, e AS e2 FROM {SPANS} WHERE type = 'view')"
 
 
 @register("anchor_binding", f"""SELECT x.id, count(t.s2) AS n_tokens, CASE WHEN count(t.s2) = 0 THEN 'missing' WHEN bool_or(t.clash) THEN 'ambiguous' WHEN bool_and(x.s <= t.s2 AND t.e2 <= x.e) THEN 'exact' ELSE 'partial' END AS binding
   FROM {SPANS} x LEFT JOIN (SELECT x.id, t.s2, t.e2, coalesce(lead(t.s2) OVER (PARTITION BY x.id ORDER BY t.s2, t.e2) < t.e2, false) AS clash FROM {SPANS} x JOIN {_TOK} t ON t.doc = x.doc AND t.s2 < x.e AND x.s < t.e2) t ON t.id = x.id GROUP BY x.id""")
 def anchor_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spans(spark, sf_dir)
-    tok = x.where("id % 4 = 1").select("doc", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    tok = x.where("type = 'view'").select("doc", F.col("s").alias("s2"), F.col("e").alias("e2"))
     return an.bind(x.select("doc", "id", "s", "e"), tok, ["doc"]).select("id", "n_tokens", "binding")
 
 
-_KTH = "(SELECT doc_id, token, s, row_number() OVER (PARTITION BY doc_id, {v} ORDER BY s) AS k, {v} AS v FROM " + _TOKENS + ")"
+_KTH = "(SELECT doc_id, token, s, row_number() OVER (PARTITION BY doc_id, token ORDER BY s) AS k FROM {t} WHERE token != '')"
+_READING = _FLAT.format(k="doc_id", t="reading", src=r"(SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS reading FROM documents)")
 
 
-@register("text_match_projection", f"SELECT a.doc_id, count(*) AS n, sum(b.s)::BIGINT AS sum_s, count(*) FILTER (a.s = b.s) AS unmoved FROM {_KTH.format(v='token')} a JOIN (SELECT doc_id, lower(token) AS v, s, row_number() OVER (PARTITION BY doc_id, token ORDER BY s) AS k, token FROM {_TOKENS}) b ON a.doc_id = b.doc_id AND a.token = b.token AND a.k = b.k GROUP BY a.doc_id")
+@register("text_match_projection", f"SELECT a.doc_id, count(*) AS n, sum(b.s)::BIGINT AS sum_s, count(*) FILTER (a.s = b.s) AS unmoved FROM {_KTH.format(t=_TOKENS)} a JOIN {_KTH.format(t=_READING)} b USING (doc_id, token, k) GROUP BY a.doc_id")
 def text_match_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-th occurrence of a value on one side is the k-th on the other."""
+    """The k-th occurrence of a value in the raw text is the k-th in the reading text, where runs of white space are one space."""
     kth = F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("s"))
-    raw = tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).withColumn("k", kth)
-    reading = raw.select("doc_id", "token", "k", F.col("s").alias("rs"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    raw = tokens(docs, ["doc_id"]).withColumn("k", kth)
+    reading = docs.select("doc_id", F.trim(F.regexp_replace("text", "[ \t\n\r]+", " ")).alias("text"))
+    reading = tokens(reading, ["doc_id"]).withColumn("k", kth).select("doc_id", "token", "k", F.col("s").alias("rs"))
     return raw.join(reading, ["doc_id", "token", "k"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("rs").alias("sum_s"), F.count_if(F.col("s") == F.col("rs")).alias("unmoved"))
 
 

@@ -84,11 +84,11 @@ def target_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", "user_id").join(known, "user_id", "left_semi")
 
 
-@register("tombstones", "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 50 = 0) GROUP BY user_id")
+@register("tombstones", "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id) WHERE last = 'error') GROUP BY user_id")
 def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletion is terminal: nothing of a deleted document shows, even if it was published later."""
+    """Deletion is terminal: nothing of a deleted document shows. A user whose last event is an error is one."""
     e = _events(spark, sf_dir)
-    gone = e.where("event_type = 'error' and event_id % 50 = 0").select("user_id").distinct()
+    gone = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).where("last = 'error'").select("user_id")
     return e.join(gone, "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
 
 

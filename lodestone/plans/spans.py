@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -126,20 +126,20 @@ def intake_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.groupBy("conv_id").agg(joined.alias("raw"), F.max(F.col("base") + F.col("n")).alias("n_chars")).select("conv_id", (F.length("raw") == F.col("n_chars")).alias("consistent"), "n_chars")
 
 
-@register("span_to_page", f"SELECT x.id, p.turn AS page, x.s - p.base AS page_s, x.e - p.base AS page_e FROM (SELECT id, doc % 100 AS conv_id, s, e FROM {SPANS}) x LEFT JOIN {_BASES} p ON p.conv_id = x.conv_id AND p.base <= x.s AND x.e <= p.base + p.n")
+@register("span_to_page", f"SELECT x.id, p.turn AS page, x.s - p.base AS page_s, x.e - p.base AS page_e FROM (SELECT id, doc AS conv_id, s, e FROM {SPANS}) x LEFT JOIN {_BASES} p ON p.conv_id = x.conv_id AND p.base <= x.s AND x.e <= p.base + p.n")
 def span_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page that holds a whole span; null for spans that lie in none."""
-    x = spans(spark, sf_dir).select("id", (F.col("doc") % 100).alias("conv_id"), "s", "e")
+    x = spans(spark, sf_dir).select("id", F.col("doc").alias("conv_id"), "s", "e")
     pages = page_bases(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "base", (F.col("base") + F.col("n")).alias("stop"))
     hit = iv.overlap_pairs(x, pages, ["conv_id"], right_span=("base", "stop")).where("base <= s and e <= stop")
     return x.select("id").join(hit.select("id", F.col("turn").alias("page"), (F.col("s") - F.col("base")).alias("page_s"), (F.col("e") - F.col("base")).alias("page_e")), "id", "left")
 
 
-_STRUCT = f"(SELECT doc, id AS sid, CASE id % 3 WHEN 0 THEN 'heading' WHEN 1 THEN 'cell' ELSE 'value' END AS kind, s AS s2, e AS e2 FROM {SPANS} WHERE id % 5 = 0)"
+_STRUCT = f"(SELECT doc, id AS sid, CASE id % 3 WHEN 0 THEN 'heading' WHEN 1 THEN 'cell' ELSE 'value' END AS kind, s AS s2, e AS e2 FROM {SPANS} WHERE type = 'signup')"
 
 
 def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spans(spark, sf_dir).where("id % 5 = 0")
+    x = spans(spark, sf_dir).where("type = 'signup'")
     kind = F.when(F.col("id") % 3 == 0, "heading").when(F.col("id") % 3 == 1, "cell").otherwise("value")
     return x.select("doc", F.col("id").alias("sid"), kind.alias("kind"), F.col("s").alias("s2"), F.col("e").alias("e2"))
 
@@ -198,17 +198,17 @@ def highlight_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(spark, sf_dir).groupBy("doc").applyInPandas(choose, "doc long, id long, s long, e long")
 
 
-# Ground truth against detections: every seventh span is truth, shifted; the others are detections.
-_TRUTH = f"(SELECT id AS gid, doc, type, s + id % 7 AS gs, e + id % 7 AS ge FROM {SPANS} WHERE id % 7 = 0)"
-_FOUND = f"(SELECT id, doc, type, s, e FROM {SPANS} WHERE id % 7 != 0)"
+# Ground truth against detections: what recognizer r0 found is truth, shifted; the others are detections.
+_TRUTH = f"(SELECT id AS gid, doc, type, s + id % 7 AS gs, e + id % 7 AS ge FROM {SPANS} WHERE recognizer = 'r0')"
+_FOUND = f"(SELECT id, doc, type, s, e FROM {SPANS} WHERE recognizer != 'r0')"
 _IOU = "CASE WHEN greatest(e, ge) > least(s, gs) THEN greatest(0, least(e, ge) - greatest(s, gs)) / ((e - s) + (ge - gs) - greatest(0, least(e, ge) - greatest(s, gs))) ELSE 0.0 END"
 _CANDS = f"(SELECT d.*, g.gid, g.gs, g.ge, {_IOU} AS iou FROM {_FOUND} d JOIN {_TRUTH} g ON d.doc = g.doc AND d.type = g.type WHERE greatest(0, least(e, ge) - greatest(s, gs)) >= 0.5 * least(e - s, ge - gs) OR abs(s - gs) <= 10)"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     x = spans(spark, sf_dir)
-    truth = x.where("id % 7 = 0").select(F.col("id").alias("gid"), "doc", "type", (F.col("s") + F.col("id") % 7).alias("gs"), (F.col("e") + F.col("id") % 7).alias("ge"))
-    return truth, x.where("id % 7 != 0").select("id", "doc", "type", "s", "e")
+    truth = x.where("recognizer = 'r0'").select(F.col("id").alias("gid"), "doc", "type", (F.col("s") + F.col("id") % 7).alias("gs"), (F.col("e") + F.col("id") % 7).alias("ge"))
+    return truth, x.where("recognizer != 'r0'").select("id", "doc", "type", "s", "e")
 
 
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,16 +284,57 @@ def score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.precision_recall_f1(sums)
 
 
-# A part of the aliases of entity types.
-_ALIASES = "('EMAIL', 'EMAIL_ADDRESS'), ('PHONE', 'PHONE_NUMBER'), ('IBAN', 'IBAN_CODE'), ('IP', 'IP_ADDRESS'), ('PERSON_NAME', 'PERSON'), ('ORG', 'ORGANIZATION'), ('LOC', 'LOCATION'), ('DATE', 'DATE_TIME'), ('STEUERNUMMER', 'TAX_ID_AT'), ('TAX_ID', 'TAX_ID_AT'), ('POLIZZENUMMER', 'POLICY_NUMBER'), ('SCHADENNUMMER', 'CLAIM_NUMBER'), ('VERTRAGSNUMMER', 'CONTRACT_NUMBER'), ('AKTENZEICHEN', 'CASE_NUMBER'), ('RECHNUNGSNUMMER', 'INVOICE_NUMBER'), ('ANGEBOTSNUMMER', 'OFFER_NUMBER'), ('KUNDENNUMMER', 'CUSTOMER_NUMBER'), ('KFZ_KENNZEICHEN', 'LICENSE_PLATE_AT'), ('LICENSE_PLATE', 'LICENSE_PLATE_AT'), ('REISEPASS', 'PASSPORT_NUMBER'), ('PERSONALAUSWEIS', 'ID_CARD_NUMBER'), ('BERICHTSNUMMER', 'REPORT_NUMBER'), ('GUTACHTENNUMMER', 'ASSESSMENT_NUMBER')"
-_RAW = "('EMAIL'), ('ORG'), ('BIRTH_DATE'), ('TAX_ID'), ('URL'), ('CONTACT_LINE'), ('LOC')"
-_GROUP = "CASE WHEN t IN ('EMAIL_ADDRESS', 'PHONE_NUMBER', 'IBAN_CODE', 'CREDIT_CARD', 'IP_ADDRESS', 'URL') THEN 'structured_types' WHEN t IN ('PERSON', 'ORGANIZATION', 'LOCATION', 'DATE_TIME') THEN 'ner_types' WHEN t IN ('ADDRESS', 'CONTACT_LINE', 'CUSTOMER_LINE') THEN 'address_contact_types' WHEN t IN ('BIRTH_DATE', 'BIRTH_PLACE') THEN 'other_types' ELSE 'domain_sensitive_types' END"
-
-
-@register("canonical_types", f"SELECT raw, t AS canonical, {_GROUP} AS type_group FROM (SELECT raw, coalesce(a.canonical, raw) AS t FROM (VALUES {_RAW}) r(raw) LEFT JOIN (VALUES {_ALIASES}) a(alias, canonical) ON a.alias = r.raw)")
+# Aliases of entity types (a type without one stands for itself), and the groups of types.
+ALIASES = {
+    "EMAIL": "EMAIL_ADDRESS",
+    "PHONE": "PHONE_NUMBER",
+    "IBAN": "IBAN_CODE",
+    "IP": "IP_ADDRESS",
+    "PERSON_NAME": "PERSON",
+    "ORG": "ORGANIZATION",
+    "LOC": "LOCATION",
+    "DATE": "DATE_TIME",
+    "STEUERNUMMER": "TAX_ID_AT",
+    "TAX_ID": "TAX_ID_AT",
+    "POLIZZENUMMER": "POLICY_NUMBER",
+    "SCHADENNUMMER": "CLAIM_NUMBER",
+    "VERTRAGSNUMMER": "CONTRACT_NUMBER",
+    "AKTENZEICHEN": "CASE_NUMBER",
+    "RECHNUNGSNUMMER": "INVOICE_NUMBER",
+    "ANGEBOTSNUMMER": "OFFER_NUMBER",
+    "KUNDENNUMMER": "CUSTOMER_NUMBER",
+    "KFZ_KENNZEICHEN": "LICENSE_PLATE_AT",
+    "LICENSE_PLATE": "LICENSE_PLATE_AT",
+    "REISEPASS": "PASSPORT_NUMBER",
+    "PERSONALAUSWEIS": "ID_CARD_NUMBER",
+    "BERICHTSNUMMER": "REPORT_NUMBER",
+    "GUTACHTENNUMMER": "ASSESSMENT_NUMBER",
+}
+GROUPS = {
+    "structured_types": ["EMAIL_ADDRESS", "PHONE_NUMBER", "IBAN_CODE", "CREDIT_CARD", "IP_ADDRESS", "URL"],
+    "ner_types": ["PERSON", "ORGANIZATION", "LOCATION", "DATE_TIME"],
+    "domain_sensitive_types": ["UID_AT", "FN_AT", "SVNR_AT", "TAX_ID_AT", "POLICY_NUMBER", "CLAIM_NUMBER", "CONTRACT_NUMBER", "CASE_NUMBER", "INVOICE_NUMBER", "OFFER_NUMBER", "CUSTOMER_NUMBER", "LICENSE_PLATE_AT", "PASSPORT_NUMBER", "ID_CARD_NUMBER", "BIC", "FILE_REFERENCE", "REPORT_NUMBER", "ASSESSMENT_NUMBER", "PROJECT_ID", "TRANSACTION_ID", "USER_ID"],
+    "address_contact_types": ["ADDRESS", "CONTACT_LINE", "CUSTOMER_LINE"],
+}
+
+
+def canonical(raw: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), raw), raw)
+
+
+def type_group(canonical_type: Column) -> Column:
+    out = F.lit("other_types")
+    for name, members in GROUPS.items():
+        out = F.when(canonical_type.isin(members), name).otherwise(out)
+    return out
+
+
+_RAW = ", ".join(f"('{t}')" for t in [*ALIASES, *(t for members in GROUPS.values() for t in members), "BIRTH_DATE", "BIRTH_PLACE", "SOMETHING"])
+_ALIAS_ROWS = ", ".join(f"('{a}', '{c}')" for a, c in ALIASES.items())
+_GROUP_ROWS = ", ".join(f"('{g}', '{t}')" for g, members in GROUPS.items() for t in members)
+
+
+@register("canonical_types", f"SELECT raw, coalesce(a.canonical, raw) AS canonical, coalesce(g.name, 'other_types') AS type_group FROM (VALUES {_RAW}) r(raw) LEFT JOIN (VALUES {_ALIAS_ROWS}) a(alias, canonical) ON a.alias = r.raw LEFT JOIN (VALUES {_GROUP_ROWS}) g(name, member) ON g.member = coalesce(a.canonical, raw)")
 def canonical_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = F.broadcast(values(spark, _ALIASES, "alias, canonical"))
-    named = values(spark, _RAW, "raw").join(aliases, F.col("raw") == F.col("alias"), "left").withColumn("t", F.coalesce("canonical", "raw"))
-    return named.select("raw", F.col("t").alias("canonical"), F.expr(_GROUP).alias("type_group"))
-
-
+    named = values(spark, _RAW, "raw").withColumn("canonical", canonical(F.col("raw")))
+    return named.withColumn("type_group", type_group(F.col("canonical")))
