@@ -36,7 +36,29 @@ PREFIXES = {
     "TRANSACTION_ID": "TXN|TX",
     "USER_ID": "USR|USER",
 }
-STRONG = [(t, rf"\b(?:{p})(?:[\-/][A-Z0-9]{{1,12}})+\b", 0.7) for t, p in PREFIXES.items()]
+#: A prefix takes so many segments at least (one, if not named), five at most.
+SEGMENTS = {"POLICY_NUMBER": 2}
+#: In any case. User ids may hold dots, underscores and at signs.
+STRONG = [(t, rf"(?i)\b(?:{p})(?:[\-/][A-Z0-9]+){{{SEGMENTS.get(t, 1)},5}}\b", 0.7) for t, p in PREFIXES.items() if t != "USER_ID"]
+STRONG.append(("USER_ID", rf"(?i)\b(?:{PREFIXES['USER_ID']})(?:[\-/][A-Z0-9._@]+){{1,5}}", 0.7))
+# Fixed value: such an identifier holds a digit.
+GENERIC = r"(?<!\w)(?=[a-z0-9._/@\-]*[0-9])[a-z0-9][a-z0-9._/@\-]{2,39}(?!\w)"
+# Words that announce a domain identifier without a prefix of its own.
+DOMAIN_LABELS = {
+    "POLICY_NUMBER": ["polizzennummer", "polizzennr", "polizzennr.", "polizzen-nr", "versicherungsschein", "policy"],
+    "CLAIM_NUMBER": ["schadennummer", "schadennr", "schadennr.", "schaden-nr", "claim"],
+    "CONTRACT_NUMBER": ["vertragsnummer", "vertragsnr", "vertragsnr.", "vertrags-nr", "contract"],
+    "CASE_NUMBER": ["aktenzeichen", "geschäftszahl", "geschäftszeichen", "case"],
+    "FILE_REFERENCE": ["aktenreferenz", "ablagereferenz", "referenz", "geschäftszahl", "file-reference"],
+    "REPORT_NUMBER": ["berichtsnummer", "berichtsnr", "berichtsnr.", "berichts-nr", "report"],
+    "ASSESSMENT_NUMBER": ["gutachtennummer", "gutachtennr", "gutachtennr.", "gutachten-nr", "assessment"],
+    "INVOICE_NUMBER": ["rechnungsnummer", "rechnungsnr", "rechnungsnr.", "rechnungs-nr", "invoice"],
+    "OFFER_NUMBER": ["angebotsnummer", "angebotsnr", "angebotsnr.", "angebots-nr", "offerte", "offer"],
+    "CUSTOMER_NUMBER": ["kundennummer", "kundennr", "kundennr.", "kunden-nr", "kundenkonto", "customer"],
+    "PROJECT_ID": ["projekt-id", "projektid", "projektnummer", "projekt", "project-id"],
+    "TRANSACTION_ID": ["transaktions-id", "transaktionsid", "transaktionsnummer", "transaction-id"],
+    "USER_ID": ["benutzerkennung", "benutzer-id", "benutzerid", "user-id", "userid", "login"],
+}
 # Labels that must stand before a value, and the value's shape.
 LABELLED = {
     "SVNR_AT": (["SVNR", "SV-Nr", "Sozialversicherungsnummer", "Versicherungsnummer"], r"[0-9]{4}[ \-][0-9]{6}", 0.65),
@@ -63,6 +85,9 @@ def patterns() -> list[tuple[str, str, float, str]]:
     for t, (labels, value, score) in LABELLED.items():
         before = "|".join(map(regex.escape, sorted(labels, key=len, reverse=True)))
         rows.append((t, rf"\b(?:{before})(?:{gap}|[^\n:]{{0,14}}:[ \t]*\n?[ \t]*)(?P<v>{value})\b", score, f"labelled_{t.lower()}"))
+    for t, labels in DOMAIN_LABELS.items():
+        before = "|".join(map(regex.escape, sorted(labels, key=len, reverse=True)))
+        rows.append((t, rf"(?i)\b(?:{before}){gap}(?P<v>{GENERIC})", 0.6, f"labelled_{t.lower()}"))
     for t, labels in (("CONTACT_LINE", CONTACT_LABELS), ("CUSTOMER_LINE", CUSTOMER_LABELS), ("ADDRESS", ADDRESS_LABELS)):
         need = {"CONTACT_LINE": r"(?=[^\n]*(?:@|[0-9]{4}|Dr\.|Mag\.|Ing\.))", "CUSTOMER_LINE": r"(?=[^\n]*\p{L}{2})", "ADDRESS": r"(?=[^\n]*[0-9])"}[t]
         rows.append((t, rf"\b(?:{'|'.join(labels)})[^\n:]{{0,24}}:[ \n]?{need}(?P<v>[^\n]+)", 0.6, f"line_{t.lower()}"))
@@ -100,8 +125,14 @@ def matches(text: Column, types: list[str] | None = None) -> Column:
     def of(kind: str, pattern: str, score: float) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("entity_type"), x.alias("match"), F.lit(score).alias("score")))
 
-    found = [of(*row) for row in DIRECT + STRONG if types is None or row[0] in types]
-    return F.flatten(F.array(*found))
+    direct, strong = ([of(*row) for row in rows if types is None or row[0] in types] for rows in (DIRECT, STRONG))
+    found = F.flatten(F.array(*direct)) if direct else None
+    if strong:
+        # One scan for any prefix with a segment decides whether there is a scan for each.
+        every = F.flatten(F.array(*strong))
+        some = F.when(text.rlike(rf"(?i)\b(?:{'|'.join(PREFIXES.values())})[\-/]"), every).otherwise(F.array().cast("array<struct<entity_type: string, match: string, score: double>>"))
+        found = F.concat(found, some) if found is not None else some
+    return found
 
 
 def normalized(entity_type: Column, match: Column) -> Column:

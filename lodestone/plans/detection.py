@@ -34,9 +34,9 @@ NORMALIZED = """CASE WHEN entity_type = 'EMAIL_ADDRESS' THEN lower(trim(regexp_r
   ELSE trim(regexp_replace(match, '\\s+', ' ', 'g')) END"""
 
 
-def detected(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def detected(spark: SparkSession, sf_dir: str, *more: str, types: list[str] | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *more, F.explode(r.matches(F.col("text"))).alias("x")).select("doc_id", *more, "x.*")
+    return docs.select("doc_id", *more, F.explode(r.matches(F.col("text"), types)).alias("x")).select("doc_id", *more, "x.*")
 
 
 @register("detect_entities", f"SELECT doc_id, entity_type, match, score, count(*) AS n FROM {detected_sql()} GROUP BY ALL")
@@ -49,7 +49,7 @@ def detect_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset-exact detector; the spans' texts must be what the JVM finds, and lie where they say."""
     docs = table(spark, sf_dir, "documents")
     found = r.detect(docs.select("doc_id", "text"), ["doc_id"], types=[t for t, _, _ in r.DIRECT + r.STRONG]).join(docs.select("doc_id", "text"), "doc_id")
-    placed = found.where(F.col("match") == F.expr("substring(text, s + 1, e - s)"))
+    placed = found.where(~F.col("recognizer").startswith("labelled_")).where(F.col("match") == F.expr("substring(text, s + 1, e - s)"))
     return placed.groupBy("doc_id", "entity_type", "match").agg(F.count("*").alias("n"))
 
 
@@ -94,7 +94,7 @@ _LUHN = """list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN
 
 @register("card_checksums", f"SELECT doc_id, d AS digits, {_LUHN} AS valid FROM (SELECT doc_id, regexp_replace(match, '[^0-9]', '', 'g') AS d FROM {detected_sql()} WHERE entity_type = 'CREDIT_CARD')")
 def card_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = detected(spark, sf_dir).where("entity_type = 'CREDIT_CARD'")
+    cards = detected(spark, sf_dir, types=["CREDIT_CARD"])
     return cards.select("doc_id", F.regexp_replace("match", "[^0-9]", "").alias("digits"), r.luhn(F.col("match")).alias("valid"))
 
 

@@ -187,3 +187,15 @@ def test_line_stretches(spark):
         own = sorted((r.start, r.stretch) for r in out if r.id == k)
         assert "".join(t for _, t in own) == (text or "") and [s for s, _ in own] == [sum(len(t) for _, t in own[:i]) for i in range(len(own))]
         assert all(len(t) <= 1200 or len(t.splitlines()) == 1 for _, t in own) and all(len(a) + len(b.splitlines(keepends=True)[0]) > 1200 for (_, a), (_, b) in zip(own, own[1:], strict=False))
+
+
+def test_domain_identifiers(spark):
+    """Prefixes in any case, as many segments as the type takes, and labels before identifiers without a prefix."""
+    from lodestone.functions import recognizers as r
+
+    texts = ["pol-2024-17 and POL-9", "Sch/1/2", "Polizzennummer: A123", "polizzennr.: 77-b", "user-ab.c@x", "Projekt Alpha", "Projekt: 12/34", "GUT-1-2-3-4-5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(x.id, x.entity_type, x.match) for x in r.detect(df, ["id"], types=list(r.PREFIXES)).collect()}
+    assert got == {(0, "POLICY_NUMBER", "pol-2024-17"), (1, "CLAIM_NUMBER", "Sch/1/2"), (2, "POLICY_NUMBER", "A123"), (3, "POLICY_NUMBER", "77-b"), (4, "USER_ID", "user-ab.c@x"), (6, "PROJECT_ID", "12/34"), (7, "ASSESSMENT_NUMBER", "GUT-1-2-3-4-5")}
+    strong = df.select("id", F.explode(r.matches(F.col("text"))).alias("x")).select("id", "x.entity_type", "x.match")
+    assert {tuple(x) for x in strong.collect()} == {x for x in got if x[0] in (0, 1, 4, 7)}
