@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions import anchors as an
 from ..operators import layout
-from ..sources.tables import SPANS, spans, table, values
+from ..sources.tables import SPANS, spans, table, values, texts
 from .text import _FLAT, _TOKENS, tokens
 
 
 @register("anchor_tokens")
 def anchor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds depend on what failed before at a position, so there is no SQL; tests use literal cases."""
-    found = an.anchors(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    found = an.anchors(texts(spark, sf_dir, "doc_id", "text"), ["doc_id"])
     return found.groupBy("doc_id", "kind", an.token_class(F.col("kind")).alias("token_class"), an.shape(F.col("token")).alias("shape")).agg(F.count("*").alias("n"), F.sum("s").alias("sum_s"))
 
 
 @register("anchor_ids", f"SELECT doc_id, substr(sha256(doc_id || chr(0) || s || chr(0) || e || chr(0) || token), 1, 32) AS anchor_id FROM {_TOKENS}")
 def anchor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that depend on place and value only."""
-    found = tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    found = tokens(texts(spark, sf_dir, "doc_id", "text"), ["doc_id"])
     return found.select("doc_id", an.anchor_id(F.col("doc_id"), F.col("s"), F.col("e"), F.col("token")).alias("anchor_id"))
 
 
@@ -45,7 +45,7 @@ _READING = _FLAT.format(k="doc_id", t="reading", src=r"(SELECT doc_id, trim(rege
 def text_match_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-th occurrence of a value in the raw text is the k-th in the reading text, where runs of white space are one space."""
     kth = F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("s"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     raw = tokens(docs, ["doc_id"]).withColumn("k", kth)
     reading = docs.select("doc_id", F.trim(F.regexp_replace("text", "[ \t\n\r]+", " ")).alias("text"))
     reading = tokens(reading, ["doc_id"]).withColumn("k", kth).select("doc_id", "token", "k", F.col("s").alias("rs"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..sources.tables import SPANS, spans, table
+from ..sources.tables import SPANS, spans, table, texts
 
 
 def ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -147,7 +147,7 @@ _TOKENS = r"(SELECT doc_id, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+
 
 @register("letter_digit_alternation", rf"SELECT doc_id, count(*) FILTER (n >= 3) AS n_mixed, max(n)::INT AS most FROM (SELECT doc_id, greatest(0, length(regexp_replace(regexp_replace(regexp_replace(token, '[^\p{{L}}\p{{Nd}}]', '', 'g'), '\p{{L}}+', 'a', 'g'), '\p{{Nd}}+', '1', 'g')) - 1) AS n FROM {_TOKENS} WHERE token <> '') GROUP BY doc_id")
 def letter_digit_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens(table(spark, sf_dir, "documents"), "doc_id").withColumn("n", alternations(F.col("token")))
+    counted = tokens(texts(spark, sf_dir, "doc_id", "text"), "doc_id").withColumn("n", alternations(F.col("token")))
     return counted.groupBy("doc_id").agg(F.count_if(F.col("n") >= 3).alias("n_mixed"), F.max("n").cast("int").alias("most"))
 
 
@@ -159,14 +159,14 @@ _PLANTED = "token || CASE length(token) % 5 WHEN 0 THEN chr(65533) WHEN 1 THEN c
 def glyph_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("token") % 5
     tail = F.when(n == 0, "�").when(n == 1, "█").when(n == 2, "").otherwise("")
-    found = tokens(table(spark, sf_dir, "documents"), "doc_id").select("token", glyph_reason(F.concat("token", tail)).alias("reason"))
+    found = tokens(texts(spark, sf_dir, "doc_id", "text"), "doc_id").select("token", glyph_reason(F.concat("token", tail)).alias("reason"))
     return found.groupBy(F.length("token").cast("long").alias("n_chars"), "reason").agg(F.count("*").alias("n"))
 
 
 @register("confusion_tokens", rf"SELECT doc_id, count(*) FILTER (reason = 'o') AS n_o, count(*) FILTER (reason = 'i') AS n_i FROM (SELECT doc_id, CASE WHEN NOT regexp_matches(t, '\p{{Nd}}') OR length(t) < 3 THEN NULL WHEN l <> '' AND replace(replace(l, 'o', ''), 'O', '') = '' THEN 'o' WHEN l <> '' AND replace(replace(replace(l, 'i', ''), 'I', ''), 'l', '') = '' THEN 'i' END AS reason FROM (SELECT doc_id, t, regexp_replace(t, '[^\p{{L}}]', '', 'g') AS l FROM (SELECT doc_id, left(token, 1) || '1' || right(token, 1) AS t FROM {_TOKENS} WHERE token <> ''))) GROUP BY doc_id")
 def confusion_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over each token's first and last character with a digit between."""
-    shaped = tokens(table(spark, sf_dir, "documents"), "doc_id").withColumn("reason", confusion_letters(F.concat(F.left("token", F.lit(1)), F.lit("1"), F.right("token", F.lit(1)))))
+    shaped = tokens(texts(spark, sf_dir, "doc_id", "text"), "doc_id").withColumn("reason", confusion_letters(F.concat(F.left("token", F.lit(1)), F.lit("1"), F.right("token", F.lit(1)))))
     return shaped.groupBy("doc_id").agg(F.count_if(F.col("reason") == "o_zero_confusion").alias("n_o"), F.count_if(F.col("reason") == "i_l_one_confusion").alias("n_i"))
 
 

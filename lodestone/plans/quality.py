@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import quality as q
-from ..sources.tables import table, values, values_sql
+from ..sources.tables import table, values, values_sql, texts
 
 _RATIO = "CASE WHEN {1} > 0 THEN {0} / {1} ELSE 0.0 END"
 
@@ -48,7 +48,7 @@ _VERDICT = ["quality_score", "quality_status", "text_source", "needs_ocr"]
 
 @register("text_quality", verdict_sql("documents", "doc_id"))
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.verdict(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_VERDICT, F.array_join("reasons", ",").alias("reasons"))
+    return q.verdict(texts(spark, sf_dir, "doc_id", "text")).select("doc_id", *_VERDICT, F.array_join("reasons", ",").alias("reasons"))
 
 
 _PAGES = """(1, ''), (2, '  \n '), (3, 'Invoice no 42'), (4, '12 34 ## 99 %% 11 ++ 22 33 44 55 66 77 88 99 00 !! 12 34 56 78 90 11 22 33 44 55'), (5, repeat('#', 60)),
@@ -63,7 +63,7 @@ def text_quality_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("quality_by_source", f"""SELECT source, lang, quality_status, count(*) AS n, sum(CASE WHEN needs_ocr THEN 1 ELSE 0 END)::BIGINT AS n_ocr, round_even(avg(quality_score), 4) AS mean_score
   FROM ({verdict_sql('documents', 'doc_id, source, lang')}) GROUP BY GROUPING SETS ((source, lang, quality_status), (source, quality_status), (lang, quality_status), (quality_status))""")
 def quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = q.verdict(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    judged = q.verdict(texts(spark, sf_dir, "doc_id", "text", "source", "lang"))
     source, lang, status = F.col("source"), F.col("lang"), F.col("quality_status")
     sets = [[source, lang, status], [source, status], [lang, status], [status]]
     return judged.groupingSets(sets, source, lang, status).agg(F.count("*").alias("n"), F.sum(F.col("needs_ocr").cast("long")).alias("n_ocr"), F.bround(F.avg("quality_score"), 4).alias("mean_score"))
@@ -74,7 +74,7 @@ def quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
   m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
   SELECT tp, fp, fn, round_even(p, 6) AS precision_score, round_even(r, 6) AS recall_score, round_even(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM m""")
 def quality_against_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = q.verdict(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_status")
+    judged = q.verdict(texts(spark, sf_dir, "doc_id", "text")).select("doc_id", "quality_status")
     both = judged.join(table(spark, sf_dir, "labels"), "doc_id").select((F.col("quality_status") == q.GOOD).alias("said"), (F.col("quality") == 1).alias("want"))
     from ..functions.scores import precision_recall_f1
 
@@ -87,7 +87,7 @@ _REPORT = """SELECT source, count(*) AS pages, count(*) FILTER (needs_ocr) AS oc
 
 @register("quality_report", _REPORT.format(verdict_sql("documents", "doc_id, source")))
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = q.verdict(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    judged = q.verdict(texts(spark, sf_dir, "doc_id", "text", "source"))
     sure = F.when(~F.col("needs_ocr"), F.col("quality_score") / 100.0)
     routing = F.when(F.bool_and(~F.col("needs_ocr")), "direct_text").when(F.bool_and("needs_ocr"), "ocr_all").otherwise("mixed")
     return judged.groupBy("source").agg(F.count("*").alias("pages"), F.count_if("needs_ocr").alias("ocr_pages"), routing.alias("routing"), F.bround(F.avg(sure), 6).alias("mean_confidence"), F.min(sure).alias("min_confidence"), F.max(sure).alias("max_confidence"))
@@ -98,5 +98,5 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count-weighted mean of the sources' means, least of the least and largest of the largest."""
     c = F.col("quality_score") / 100.0
-    per = q.verdict(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).groupBy("source").agg(F.count("*").alias("k"), F.count_if("needs_ocr").alias("o"), F.avg(c).alias("m"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+    per = q.verdict(texts(spark, sf_dir, "doc_id", "text", "source")).groupBy("source").agg(F.count("*").alias("k"), F.count_if("needs_ocr").alias("o"), F.avg(c).alias("m"), F.min(c).alias("lo"), F.max(c).alias("hi"))
     return per.agg(F.sum("k").alias("pages"), F.sum("o").alias("ocr_pages"), F.bround(F.sum(F.col("m") * F.col("k")) / F.sum("k"), 6).alias("mean_confidence"), F.min("lo").alias("min_confidence"), F.max("hi").alias("max_confidence"))

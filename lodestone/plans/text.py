@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import intervals as iv
-from ..sources.tables import table, values
+from ..sources.tables import table, values, texts
 
 # Thresholds and reason codes of OCR noise.
 RUN, RUN_STRONG, RUN_NON_STRUCTURAL = 5, 12, 3
@@ -32,7 +32,7 @@ _TOKENS = f"(SELECT *, s + length(token) AS e FROM {_FLAT.format(k='doc_id', t='
 
 @register("token_spans", f"SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS sum_s, sum(e)::BIGINT AS sum_e, max(e)::BIGINT AS last_e FROM {_TOKENS} GROUP BY doc_id")
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    found = tokens(texts(spark, sf_dir, "doc_id", "text"), ["doc_id"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("s").alias("sum_s"), F.sum("e").alias("sum_e"), F.max("e").alias("last_e"))
 
 
@@ -41,7 +41,7 @@ _RUNS = "unnest(regexp_extract_all(text, '[^\\p{L}\\p{N}\\s]{5,}'))"
 
 @register("noise_symbol_runs", f"SELECT doc_id, run, CASE WHEN length(run) >= 12 THEN 'non_text_artifact' ELSE 'low_information_symbol_run' END AS noise_type, CASE WHEN regexp_matches(run, '^(\\.+|-+|=+|_+|\\*+|#+|!+)$') THEN 'repeated_punctuation' ELSE 'symbol_run' END AS reason, count(*) AS n FROM (SELECT doc_id, {_RUNS} AS run FROM documents) WHERE length(regexp_replace(run, '[|+=\\-_.:/]', '', 'g')) >= 3 GROUP BY ALL")
 def noise_symbol_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"[^\p{{L}}\p{{N}}\s]{{{RUN},}}"), F.lit(0))).alias("run"))
+    runs = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"[^\p{{L}}\p{{N}}\s]{{{RUN},}}"), F.lit(0))).alias("run"))
     kept = runs.where(F.length(F.regexp_replace("run", f"[{STRUCTURAL}]", "")) >= RUN_NON_STRUCTURAL)
     kind = F.when(F.length("run") >= RUN_STRONG, "non_text_artifact").otherwise("low_information_symbol_run")
     reason = F.when(F.col("run").rlike(r"^(\.+|-+|=+|_+|\*+|#+|!+)$"), "repeated_punctuation").otherwise("symbol_run")
@@ -63,7 +63,7 @@ def _shape(match: str, replace: str, flag: str) -> str:
 
 @register("noise_token_shapes", f"SELECT doc_id, reason, count(*) AS n FROM (SELECT doc_id, {_shape('regexp_matches', 'regexp_replace', ', ' + chr(39) + 'g' + chr(39))} AS reason FROM {_TOKENS}) WHERE reason IS NOT NULL GROUP BY ALL")
 def noise_token_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("token"))
+    words = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("token"))
     reason = F.expr(_shape("regexp_like", "regexp_replace", "").replace("\\", "\\\\"))
     return words.select("doc_id", reason.alias("reason")).where("reason is not null").groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
 
@@ -74,7 +74,7 @@ _NOISE = f"(SELECT *, regexp_matches(token, '[0-9]') AND regexp_matches(token, '
 @register("noise_summary", f"SELECT doc_id, sum(CASE WHEN bad THEN e - s ELSE 0 END)::BIGINT AS suspicious, sum(e - s)::BIGINT AS non_space, round_even(least(1.0, sum(CASE WHEN bad THEN e - s ELSE 0 END) / sum(e - s)), 6) AS noise_ratio FROM {_NOISE} GROUP BY doc_id")
 def noise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters under suspicion over characters that are not white space."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("token"))
+    found = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("token"))
     bad = F.col("token").rlike("[0-9]") & F.col("token").rlike(r"\p{L}")
     n = F.length("token")
     suspicious, whole = F.sum(F.when(bad, n).otherwise(0)), F.sum(n)
@@ -84,7 +84,7 @@ def noise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("spaced_letters", f"SELECT doc_id, count(*) AS runs, max(n) AS longest, count(*) FILTER (n >= 5) AS split_words FROM (SELECT doc_id, grp, count(*) AS n FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM {_TOKENS} WHERE regexp_matches(token, '^\\p{{L}}$')) GROUP BY ALL HAVING count(*) >= 2) GROUP BY doc_id")
 def spaced_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal runs of single letters: gaps and islands over token places."""
-    singles = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", "\n\t\r", "   "), " ")).alias("i", "token")).where(F.col("token").rlike(r"^\p{L}$"))
+    singles = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(F.split(F.translate("text", "\n\t\r", "   "), " ")).alias("i", "token")).where(F.col("token").rlike(r"^\p{L}$"))
     group = F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
     runs = singles.withColumn("grp", group).groupBy("doc_id", "grp").agg(F.count("*").alias("n")).where("n >= 2")
     return runs.groupBy("doc_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"), F.count_if(F.col("n") >= 5).alias("split_words"))
@@ -105,7 +105,7 @@ _BLOCKS = f"array_to_string(list_filter(list_transform(regexp_split_to_array({_R
 
 @register("readable_text", f"SELECT doc_id, md5(v) AS digest, length(v)::BIGINT AS n FROM (SELECT doc_id, {_BLOCKS} AS v FROM documents)")
 def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "documents").select("doc_id", readable(F.col("text")).alias("v"))
+    v = texts(spark, sf_dir, "doc_id", "text").select("doc_id", readable(F.col("text")).alias("v"))
     return v.select("doc_id", F.md5(F.col("v").cast("binary")).alias("digest"), F.length("v").cast("long").alias("n"))
 
 
@@ -120,7 +120,7 @@ _LINES = "(SELECT doc_id, i, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS lin
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    flat = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return flat.select("doc_id", (F.col("i") + 1).alias("i"), F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line"))
 
 
@@ -211,7 +211,7 @@ def unique_line_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lineage_coverage", f"SELECT doc_id, sum(e - s)::BIGINT AS covered, round_even(sum(e - s) / max(n), 6) AS coverage FROM (SELECT t.doc_id, t.s, t.e, length(d.text) AS n FROM {_TOKENS} t JOIN documents d USING (doc_id) WHERE length(t.token) > 3) GROUP BY doc_id")
 def lineage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a text that attributed ranges cover."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     spans = tokens(docs, ["doc_id"]).where("length(token) > 3")
     covered = iv.union(spans.select("doc_id", "s", "e"), ["doc_id"]).groupBy("doc_id").agg(F.sum(F.col("e") - F.col("s")).alias("covered"))
     return covered.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").select("doc_id", "covered", F.bround(F.col("covered") / F.col("n"), 6).alias("coverage"))

@@ -10,6 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table below which it may come in fewer pieces than there are cores.
+SMALL = 1 << 28
+
+
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``documents`` for work on whole texts. A small table, which may be a single row group of one file, is
+    dealt out to all cores first: the work costs more than the move. A large one has pieces enough and stays as read."""
+    df = table(spark, sf_dir, "documents").select(*columns)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 #: SQL of values(): the same literals for both engines.
 def values_sql(rows: str, columns: str) -> str:
     return f"(SELECT * FROM (VALUES {rows}) AS fixture({columns}))"
