@@ -2,7 +2,11 @@
 
 import random
 import zipfile
+from collections import Counter
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +203,40 @@ def test_domain_identifiers(spark):
     assert got == {(0, "POLICY_NUMBER", "pol-2024-17"), (1, "CLAIM_NUMBER", "Sch/1/2"), (2, "POLICY_NUMBER", "A123"), (3, "POLICY_NUMBER", "77-b"), (4, "USER_ID", "user-ab.c@x"), (6, "PROJECT_ID", "12/34"), (7, "ASSESSMENT_NUMBER", "GUT-1-2-3-4-5")}
     strong = df.select("id", F.explode(r.matches(F.col("text"))).alias("x")).select("id", "x.entity_type", "x.match")
     assert {tuple(x) for x in strong.collect()} == {x for x in got if x[0] in (0, 1, 4, 7)}
+
+
+#: Borders beside letters that are not ASCII, letters that fold to ASCII ones, and the matches that the SQL finds.
+BORDERS = [
+    ("äFN 123 a, FN 12 bä", [("FN_AT", "FN 12 b"), ("FN_AT", "FN 123 a")]),
+    ("éVER-1 VER-2é ①VER-3", [("CONTRACT_NUMBER", "VER-1"), ("CONTRACT_NUMBER", "VER-2"), ("CONTRACT_NUMBER", "VER-3")]),
+    ("\u017fCH-1 x\u017fCH-12 POL-1-2\u017f \u212aD-5 x\u212aD-6/9 gut-\u01313", [("CLAIM_NUMBER", "\u017fCH-12"), ("CUSTOMER_NUMBER", "\u212aD-6/9"), ("POLICY_NUMBER", "POL-1-2")]),
+    ("é1.2.3.4 üwww.graz.at ATU12345678ö", [("IP_ADDRESS", "1.2.3.4"), ("UID_AT", "ATU12345678"), ("URL", "www.graz.at")]),
+]
+
+
+@pytest.fixture(scope="module")
+def odd_documents(tmp_path_factory):
+    """BORDERS under ids 0 to 3, then a repeated id, null ids and a null text."""
+    rows = [(i, t, "a", "de") for i, (t, _) in enumerate(BORDERS)]
+    rows += [(3, "RE-5 x@y.com", "b", None), (None, "RE-5 a@b.at", "a", "de"), (None, "RE-5 a@b.at", None, "de"), (9, None, "a", "de"), (10, "SB-1 \u00fcRE-5", "b", "at")]
+    at = tmp_path_factory.mktemp("odd")
+    names = ("doc_id", "text", "source", "lang")
+    pq.write_table(pa.table(dict(zip(names, (list(c) for c in zip(*rows)))), pa.schema([("doc_id", pa.int64()), *((n, pa.string()) for n in names[1:])])), at / "documents.parquet")
+    return str(at)
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def rows_of_sql(name, at):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS FROM '{at}/documents.parquet'")
+        return Counter(c.execute(catalog.oracle_sql()[name]).fetchall())
+
+
+def test_detect_entities_at_borders_and_folded_letters(spark, odd_documents):
+    got = rows_of(catalog.queries()["detect_entities"](spark, odd_documents))
+    for i, (_, want) in enumerate(BORDERS[:3]):
+        assert sorted((r[1], r[2]) for r in got if r[0] == i) == want
+    assert got == rows_of_sql("detect_entities", odd_documents)
