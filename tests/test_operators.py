@@ -240,3 +240,9 @@ def test_detect_entities_at_borders_and_folded_letters(spark, odd_documents):
     for i, (_, want) in enumerate(BORDERS[:3]):
         assert sorted((r[1], r[2]) for r in got if r[0] == i) == want
     assert got == rows_of_sql("detect_entities", odd_documents)
+
+
+def test_entities_across_documents_at_borders(spark, odd_documents):
+    got = rows_of(catalog.queries()["entities_across_documents"](spark, odd_documents))
+    assert ("INVOICE_NUMBER", 2) in {(r[1], r[2]) for r in got}  # RE-5 in 3 and, after a letter that is not ASCII, in 10
+    assert got == rows_of_sql("entities_across_documents", odd_documents)
