@@ -246,3 +246,9 @@ def test_entities_across_documents_at_borders(spark, odd_documents):
     got = rows_of(catalog.queries()["entities_across_documents"](spark, odd_documents))
     assert ("INVOICE_NUMBER", 2) in {(r[1], r[2]) for r in got}  # RE-5 in 3 and, after a letter that is not ASCII, in 10
     assert got == rows_of_sql("entities_across_documents", odd_documents)
+
+
+def test_entity_groups_at_borders(spark, odd_documents):
+    got = rows_of(catalog.queries()["entity_groups"](spark, odd_documents))
+    assert sorted((r[1], r[3]) for r in got if r[0] == 1) == [("CONTRACT_NUMBER", 1)] * 3
+    assert got == rows_of_sql("entity_groups", odd_documents)
