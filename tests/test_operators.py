@@ -252,3 +252,15 @@ def test_entity_groups_at_borders(spark, odd_documents):
     got = rows_of(catalog.queries()["entity_groups"](spark, odd_documents))
     assert sorted((r[1], r[3]) for r in got if r[0] == 1) == [("CONTRACT_NUMBER", 1)] * 3
     assert got == rows_of_sql("entity_groups", odd_documents)
+
+
+def test_detect_spans_with_repeated_and_null_ids(spark, odd_documents):
+    got = rows_of(catalog.queries()["detect_spans"](spark, odd_documents))
+    assert got[(None, "INVOICE_NUMBER", "RE-5", 2)] == 1
+    assert got == rows_of_sql("detect_spans", odd_documents)
+
+
+def test_spans_lie_where_they_say(spark, odd_documents):
+    docs = spark.read.parquet(odd_documents + "/documents.parquet").where("doc_id < 3").withColumn("text", F.concat(F.lit("\U0001f600 ́"), "text"))
+    found = recognizers.detect(docs, ["doc_id"]).join(docs, "doc_id")
+    assert found.count() > 5 and not found.where("match != substring(text, s + 1, e - s)").count()
