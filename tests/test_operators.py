@@ -264,3 +264,11 @@ def test_spans_lie_where_they_say(spark, odd_documents):
     docs = spark.read.parquet(odd_documents + "/documents.parquet").where("doc_id < 3").withColumn("text", F.concat(F.lit("\U0001f600 ́"), "text"))
     found = recognizers.detect(docs, ["doc_id"]).join(docs, "doc_id")
     assert found.count() > 5 and not found.where("match != substring(text, s + 1, e - s)").count()
+
+
+def test_entity_counts_with_odd_ids_and_without_matches(spark, odd_documents, tmp_path):
+    counts = catalog.queries()["entity_counts"]
+    assert rows_of(counts(spark, odd_documents)) == rows_of_sql("entity_counts", odd_documents)
+    spark.read.parquet(odd_documents + "/documents.parquet").where("doc_id = 9").coalesce(1).write.parquet(str(tmp_path / "none"))
+    next((tmp_path / "none").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert rows_of(counts(spark, str(tmp_path))) == rows_of_sql("entity_counts", str(tmp_path)) == Counter([(None, None, None, 0, 0)])
