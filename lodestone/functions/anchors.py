@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +23,15 @@ KINDS = [
 ]
 
 
-def tokenize(text: str) -> list[tuple[str, int, int]]:
+#: Tokens that a task hands on at a time, and bytes of texts that it takes in at a time.
+TOKENS, BYTES = 1 << 15, 1 << 23
+
+
+def tokenize(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end): at each position the first kind that matches; a phone needs seven digits and a separator, an
     identifier with separators a digit, else the next kind is tried."""
     compiled = [(kind, _compiled(p)) for kind, p in KINDS]
-    found, at = [], 0
+    at = 0
     while at < len(text):
         if text[at].isspace():
             at += 1
@@ -41,10 +45,9 @@ def tokenize(text: str) -> list[tuple[str, int, int]]:
                 continue
             if i == 2 and not any(c.isdigit() for c in value):
                 continue
-            found.append((kind, at, m.end()))
+            yield kind, at, m.end()
             at = m.end()
             break
-    return found
 
 
 _PATTERNS: dict[str, regex.Pattern] = {}
@@ -56,16 +59,40 @@ def _compiled(pattern: str) -> regex.Pattern:
     return _PATTERNS[pattern]
 
 
-def anchors(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row for each token: keys, ordinal, kind, s, e, token. Row-wise, without a shuffle."""
-    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), "ordinal int, kind string, s int, e int, token string"])
+def pieces(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of keys and text -> their tokens, TOKENS at a time, however many and long the texts of a batch are."""
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*row[:-1], n, kind, s, e, row[-1][s:e]) for row in batch.itertuples(index=False) if row[-1] for n, (kind, s, e) in enumerate(tokenize(row[-1]))]
-            yield pd.DataFrame(rows, columns=[*keys, "ordinal", "kind", "s", "e", "token"])
+            owner, rows = [], []
+
+            def send() -> pa.RecordBatch:
+                found = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(types), types, strict=True)]
+                own = pa.array(owner, pa.int32())
+                owner.clear()
+                rows.clear()
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(len(keys))), *found], names=[*keys, "ordinal", "kind", "s", "e", "token"])
 
-    return df.select(*keys, text).mapInPandas(run, schema)
+            for i, value in enumerate(batch.column(len(keys))):
+                text = value.as_py() or ""
+                for n, (kind, s, e) in enumerate(tokenize(text)):
+                    owner.append(i)
+                    rows.append((n, kind, s, e, text[s:e]))
+                    if len(rows) == TOKENS:
+                        yield send()
+            yield send()
+
+    return run
+
+
+def anchors(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row for each token: keys, ordinal, kind, s, e, token. Row-wise, without a shuffle."""
+    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), "ordinal int, kind string, s int, e int, token string"])
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(most, str(BYTES + 1)).rstrip("bB")) > BYTES:
+        df.sparkSession.conf.set(most, str(BYTES))
+    return df.select(*keys, text).mapInArrow(pieces(keys), schema)
 
 
 def token_class(kind: Column) -> Column:

@@ -272,3 +272,14 @@ def test_entity_counts_with_odd_ids_and_without_matches(spark, odd_documents, tm
     spark.read.parquet(odd_documents + "/documents.parquet").where("doc_id = 9").coalesce(1).write.parquet(str(tmp_path / "none"))
     next((tmp_path / "none").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     assert rows_of(counts(spark, str(tmp_path))) == rows_of_sql("entity_counts", str(tmp_path)) == Counter([(None, None, None, 0, 0)])
+
+
+def test_anchors_pass_tokens_on_in_pieces(spark):
+    n = 3 * 32768 + 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, None, 8], "text": ["ab-1 " * n, None, "x"]})
+    found = list(anchors.pieces(["doc_id"])(iter([batch])))
+    assert [x.num_rows for x in found] == [32768] * 3 + [6]
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert rows[n - 1 :] == [{"doc_id": d, "ordinal": o, "kind": k, "s": s, "e": s + len(t), "token": t} for d, o, k, s, t in ((7, n - 1, "identifier", 5 * n - 5, "ab-1"), (8, 0, "word", 0, "x"))]
+    df = spark.createDataFrame([(7, "ab-1 " * n), (None, None), (8, "x")], "doc_id long, text string")
+    assert anchors.anchors(df, ["doc_id"]).count() == n + 1
