@@ -54,6 +54,8 @@ BACKOFF, ENDING = 50.0, 3
 END = b"\n"
 #: Words or bigrams that a task holds before it passes partial counts on.
 HELD = 400_000
+#: Bytes of texts whose tokens a task holds as objects.
+SLICE = 1 << 19
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -72,7 +74,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return out
 
-    for batch in slices(batches, 0):
+    for batch in slices(batches, 0, SLICE):
         for text in batch.column(0).to_pylist():
             held.update(tokens(text))
         if len(held) > HELD:
@@ -93,7 +95,7 @@ class Numbers(dict):
         self.items_ = items
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.items_) + HELD:
+        if len(self) > len(self.items_) + HELD // 4:
             self.clear()
             self.update(self.items_)
         self[word] = number = bucket_of(word)
@@ -120,14 +122,17 @@ def _bigrams(known):
         waiting = 0
 
         def send() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
+            code = np.concatenate(held or [np.empty(0, np.int32)])
             held.clear()
+            code.sort()
+            first = np.flatnonzero(np.r_[code[:1] >= 0, code[1:] != code[:-1]])
+            code, n = code[first].astype(np.int64), np.diff(np.r_[first, len(code)])
             return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE):
             words, _, before, _ = flat(batch.column(0).to_pylist())
-            own = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-            held.append(own[before] * size + own)  # the end also stands before the first
+            own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+            held.append(own[before] * np.int32(size) + own)  # the end also stands before the first
             waiting += len(own)
             if waiting > 8 * HELD:
                 waiting = 0
@@ -236,7 +241,8 @@ def _word_contexts(sent):
         waiting = 0
 
         def send() -> pa.RecordBatch:
-            number, at = (np.concatenate(c) for c in zip((np.empty(0, np.int64), np.empty(0, np.uint16)), *held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.uint16))
+            number, at = (np.concatenate(c) for c in zip((np.empty(0, np.int32), np.empty(0, np.uint16)), *held, strict=True)) if held else (np.empty(0, np.int32), np.empty(0, np.uint16))
+            held.clear()
             order = np.argsort(number, kind="stable")
             number, at = number[order], at[order]
             first = np.flatnonzero(np.r_[number[:1] >= 0, number[1:] != number[:-1]])
@@ -244,14 +250,13 @@ def _word_contexts(sent):
             own = [words[i] if i < len(words) else names[i - len(words)] for i in number[first].tolist()]
             ends = np.r_[first, len(number)].astype(np.int32) * 2
             blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(at.tobytes())])
-            held.clear()
             local.clear()
             sides.clear()
             return pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), blob], schema=_CONTEXTS)
 
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE):
             own, _, before, after = flat(batch.column(0).to_pylist())
-            number = np.fromiter(map(ids.get, own, repeat(-1)), np.int64, len(own))
+            number = np.fromiter(map(ids.get, own, repeat(-1)), np.int32, len(own))
             for i in np.flatnonzero(number < 0).tolist():
                 w = own[i]
                 k = local.get(w)
@@ -434,7 +439,7 @@ def _look_up(sent):
         ids = {w: i for i, w in enumerate(known)}
         value = np.array([*known.values(), (0, 0)], np.int64)
         log, class_of = np.log10(value[:, 0] + 0.5), value[:, 1].astype(np.int32)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             rows = []
             words, starts, _, _ = flat(batch.column(1).to_pylist())
             number = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))

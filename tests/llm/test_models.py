@@ -2,11 +2,14 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestone.llm import class_lm, lsh, mixing, pivot_index, sentencepiece, sharding, toxicity
@@ -531,3 +534,18 @@ def test_round_trip_compares_the_unchanged_text(spark):
     """A text that holds the model's mark of a space does not come back."""
     docs = spark.createDataFrame([(1, "a\u2581b"), (2, "a b")], "doc_id long, text string")
     assert {r.row.doc_id: r.round_trip for r in sentencepiece.encode(docs, tokenizer()).collect()} == {1: False, 2: True}
+
+
+def test_bigrams_are_counted_in_little_memory():
+    """3 million tokens, of which a task holds 32-bit numbers and the objects of one slice."""
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(b"%d" % w for w in rng.integers(0, 3000, 250_000)) for _ in range(12)]
+    small = [pa.RecordBatch.from_pydict({"data": pa.array([t[i : i + 50_000] for i in range(0, len(t), 50_000)], pa.binary())}) for t in texts]
+    del texts
+    run = class_lm._bigrams(type("Sent", (), {"value": cloudpickle.dumps({b"%d" % i: i for i in range(3000)})}))
+    tracemalloc.start()
+    total = sum(int(np.sum(b.column(1).to_numpy())) for b in run(iter(small)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 3_000_000
+    assert peak < 115 << 20
