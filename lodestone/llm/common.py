@@ -54,11 +54,22 @@ class Stash:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        self._write(df, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.path_of[id(out)] = path
         return out
 
+    def _write(self, df: DataFrame, path: str) -> None:
+        """Nothing reads the shuffle files of a written table again: they go with the write, not when the driver next
+        collects garbage. The setting holds for this write only, as other results may be read twice."""
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, was) if was is not None else self.spark.conf.unset(name)
+
     def drop(self, *saved: DataFrame) -> None:
         """Deletes tables that nothing lazily reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -1,6 +1,7 @@
 """SimHash, window and suffix dedup against brute force, on texts with every odd case."""
 
 import hashlib
+import pathlib
 import random
 from collections import Counter
 
@@ -350,3 +351,16 @@ def test_rejoin_keeps_clean_texts(spark):
     df = frame(spark, [(1, "keep  my\nspaces")])
     assert bytes(substring_dedup.remove_repeated_windows(df, Stash(spark), rejoin=False).first().kept) == b"keep  my\nspaces"
     assert df.select(F.sha2("text", 256)).count() == 1
+
+
+def test_a_saved_table_leaves_no_shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files():
+        return {f for d in dirs for f in pathlib.Path(str(d)).glob("**/shuffle_*.data")}
+
+    before = files()
+    saved = Stash(spark).save(spark.range(10_000).repartition(3, "id"))
+    assert not files() - before and saved.count() == 10_000
+    twice = saved.repartition(3, "id").groupBy((F.col("id") % 5).alias("k")).count()
+    assert len(twice.collect()) == len(twice.collect()) == 5
