@@ -283,3 +283,19 @@ def test_anchors_pass_tokens_on_in_pieces(spark):
     assert rows[n - 1 :] == [{"doc_id": d, "ordinal": o, "kind": k, "s": s, "e": s + len(t), "token": t} for d, o, k, s, t in ((7, n - 1, "identifier", 5 * n - 5, "ab-1"), (8, 0, "word", 0, "x"))]
     df = spark.createDataFrame([(7, "ab-1 " * n), (None, None), (8, "x")], "doc_id long, text string")
     assert anchors.anchors(df, ["doc_id"]).count() == n + 1
+
+
+def documents_of(at, texts):
+    at.mkdir()
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), at / "documents.parquet")
+    return str(at)
+
+
+def test_entities_across_documents_with_hosts_of_many_labels(spark, tmp_path):
+    """Java's stack must not grow with the labels; what an e-mail address gives back stays as it was."""
+    host = "ab." * 5000 + "de"
+    texts = [f"x@{host}1.c. www.{host}/a RE-5", f"X@{host}1, www.{host}/a", "a@b.com1x@y.de a@b..com a@.b.com a@b.c a@b.co.1 a@-.de www.a..b", "1x@y.de a@b.com www.a.b www.a.b."]
+    at = documents_of(tmp_path / "many", texts)
+    got = rows_of(catalog.queries()["entities_across_documents"](spark, at))
+    assert sorted((r[1], r[2]) for r in got) == [("EMAIL_ADDRESS", 2)] * 3 + [("URL", 2)]
+    assert got == rows_of_sql("entities_across_documents", at)
