@@ -1,6 +1,7 @@
 """Operators against plain Python, on random and literal cases."""
 
 import random
+import time
 import zipfile
 from collections import Counter
 
@@ -299,3 +300,14 @@ def test_entities_across_documents_with_hosts_of_many_labels(spark, tmp_path):
     got = rows_of(catalog.queries()["entities_across_documents"](spark, at))
     assert sorted((r[1], r[2]) for r in got) == [("EMAIL_ADDRESS", 2)] * 3 + [("URL", 2)]
     assert got == rows_of_sql("entities_across_documents", at)
+
+
+def test_entity_groups_with_long_runs(spark, tmp_path):
+    """Time in proportion to a run without an at sign; a square of it is minutes here."""
+    run = "aB1.-" * 60000
+    at = documents_of(tmp_path / "runs", [run, f"{run} x@y.de {run}", f"{run}@y.de1x@y.com.1-a@b.at", "a@b.com1x@y.de%@b.at\u00e9x@y.de x@y.d1 x@@y.de a@b@y.de"])
+    began = time.monotonic()
+    got = rows_of(catalog.queries()["entity_groups"](spark, at))
+    assert time.monotonic() - began < 60
+    assert sorted((r[0], r[1], r[3]) for r in got) == [(i, "EMAIL_ADDRESS", 1) for i in [1, *[2] * 3, *[3] * 5]]
+    assert got == rows_of_sql("entity_groups", at)
